@@ -27,6 +27,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .common import crc_mod
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import toxicity
+    from .common import crc_mod
+
+    held_out = crc_mod("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = toxicity.fit_and_score(docs, table(spark, sf_dir, "labels"), allowed=~held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -40,7 +62,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op4_langid, op8_toxicity, op9_ring_shards, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
