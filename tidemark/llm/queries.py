@@ -27,6 +27,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .common import crc_mod
@@ -62,7 +69,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_langid, op8_toxicity, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op8_toxicity, op9_ring_shards, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
