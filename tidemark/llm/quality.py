@@ -93,9 +93,9 @@ def ratios(c: dict[str, np.ndarray]) -> np.ndarray:
     n = np.maximum(c["n_words"], 1).astype(float)
     return np.column_stack(
         [
-            c["word_chars"] / n,
-            c["n_symbols"] / n,
-            c["n_upper_words"] / n,
+            (c["word_chars"] + 250) / (n + 50),  # few words tell little: fifty of five letters are added
+            np.floor(20 * c["n_symbols"] / n) / 20,  # in steps: a stray symbol or capital is nothing
+            np.floor(20 * c["n_upper_words"] / n) / 20,
             np.minimum(np.log1p(c["n_distinct"]) / np.log1p(n), 0.9),  # only a poor vocabulary tells
         ]
     )
