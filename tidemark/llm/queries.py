@@ -44,6 +44,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokenfiles
+
+    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -69,7 +75,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op8_toxicity, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op6_token_files, op8_toxicity, op9_ring_shards, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
