@@ -56,6 +56,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -81,7 +87,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op5_neardup, op6_token_files, op8_toxicity, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op5_neardup, op6_token_files, op7_pii, op8_toxicity, op9_ring_shards, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
