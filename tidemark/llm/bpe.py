@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries of the cache of chunks; beyond it the cache starts anew.
-CACHE_ENTRIES = 600_000
-#: Chunks longer than this are not kept in the cache.
+#: Entries of each cache (chunks between blanks, words); beyond it the cache starts anew.
+CACHE_ENTRIES = 400_000
+#: Longer ones are not kept.
 CACHE_CHARS = 48
 #: What Python splits at but the vocabulary's pattern does not.
-_BEYOND_LATIN = regex.compile("[^\x00-\u024f]")
+BEYOND_LATIN = regex.compile("[^\x00-\u024f]")
 _ODD_BLANKS = regex.compile("[\x1c-\x1f\x85᠎]")
 
 
-def _byte_chars() -> list[str]:
+def byte_chars() -> list[str]:
     """The usual printable stand-in for each byte."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     table, extra = {}, 0
@@ -54,6 +54,28 @@ def _byte_chars() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def word_pattern(spec: dict) -> str:
+    """The pre-tokenizer's pattern; only what these vocabularies use is known."""
+    pre = spec.get("pre_tokenizer") or {"type": None}
+    split = next((p for p in pre.get("pretokenizers", [pre]) if p["type"] == "Split"), None)
+    if split is None or not (split["behavior"] == "Removed" and split["invert"]):
+        raise ValueError("only vocabularies whose pattern drops white space are supported")
+    norm = spec.get("normalizer") or {}
+    kinds = [n.get("type") for n in norm.get("normalizers", [norm])]
+    if kinds != ["NFC", "Replace", "Lowercase"]:
+        raise ValueError(f"unsupported normalizer {kinds}")
+    return split["pattern"]["Regex"]
+
+
+def split_chunk(chunk: str, pattern: regex.Pattern) -> list[str]:
+    """Words of a chunk without blanks; most are letters with at most a mark behind."""
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+        return [chunk[:-1], chunk[-1]]
+    return pattern.findall(chunk)
+
+
 class BacktrackingBpe:
     """Encoder and decoder over a ``tokenizer.json`` with a byte-level BPE model."""
 
@@ -64,7 +86,7 @@ class BacktrackingBpe:
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        names = _byte_chars()
+        names = byte_chars()
 
         # Own numbers by rank: base symbols first, then merge results in merge order.
         base = list(names) + ([c + suffix for c in names] if suffix else [])
@@ -98,9 +120,10 @@ class BacktrackingBpe:
 
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._word = regex.compile(self._pattern(spec))
+        self._word = regex.compile(word_pattern(spec))
         self._library = Tokenizer.from_file(path)  # its normalizer and pattern, for rare scripts
         self._cache: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
 
         by_id = {v: k for k, v in vocab.items()} | {v: k for k, v in self.special.items()}
         size = max(by_id) + 1
@@ -115,19 +138,6 @@ class BacktrackingBpe:
         self._offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self._bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
-    @staticmethod
-    def _pattern(spec: dict) -> str:
-        """The pre-tokenizer's pattern; only what these vocabularies use is known."""
-        parts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-        split = next((p for p in parts if p["type"] == "Split"), None)
-        if split is None or not (split["behavior"] == "Removed" and split["invert"]):
-            raise ValueError("only vocabularies whose pattern drops white space are supported")
-        norm = spec.get("normalizer") or {}
-        kinds = [n["type"] for n in norm.get("normalizers", [norm])]
-        if kinds != ["NFC", "Replace", "Lowercase"]:
-            raise ValueError(f"unsupported normalizer {kinds}")
-        return split["pattern"]["Regex"]
-
     # -- encoding ---------------------------------------------------------
     def _compatible(self, a: int, b: int) -> bool:
         """Whether a, b side by side is what merging in rank order leaves."""
@@ -195,33 +205,37 @@ class BacktrackingBpe:
         return tuple([ids[t] for t in out])
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        if _BEYOND_LATIN.search(chunk):  # Unicode versions may differ here: the library's own tables decide
+        if BEYOND_LATIN.search(chunk):  # Unicode versions may differ here: the library's own tables decide
             text = self._library.normalizer.normalize_str(chunk)
             pieces = [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
             return tuple(chain.from_iterable(self._encode_bytes(bytes([self._back[c] for c in p])) for p in pieces))
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
-        words = self._word.findall(chunk.lower())
-        if len(words) == 1:
-            return self._encode_word(words[0])
-        return tuple(chain.from_iterable(map(self._encode_word, words)))
+        return tuple(chain.from_iterable(map(self._cached_word, split_chunk(chunk.lower(), self._word))))
+
+    def _cached_word(self, word: str) -> tuple[int, ...]:
+        ids = self._words.get(word)
+        if ids is None:
+            ids = self._encode_word(word)
+            if len(self._words) >= CACHE_ENTRIES:
+                self._words.clear()
+            if len(word) <= CACHE_CHARS:
+                self._words[word] = ids
+        return ids
 
     def _encode_plain(self, text: str) -> list[int]:
         if _ODD_BLANKS.search(text):
             return list(self._encode_chunk(text))
-        cache, chunks = self._cache, text.split()
-        try:
-            return list(chain.from_iterable([cache[c] for c in chunks]))
-        except KeyError:
-            pass
-        found = []
-        for c in chunks:
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            text = text.lower()
+        cache, found = self._cache, []
+        for c in text.split():
             ids = cache.get(c)
             if ids is None:
                 ids = self._encode_chunk(c)
+                if len(cache) >= CACHE_ENTRIES:
+                    cache.clear()
                 if len(c) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
                     cache[c] = ids
             found.append(ids)
         return list(chain.from_iterable(found))

@@ -10,8 +10,8 @@ bytes, data bytes. Files follow each other in the order (part, number). A task
 writes under a name of its own attempt and renames at the end, so retries and lost
 executors leave whole files only. The folder is one that all executors share.
 
-Texts are encoded by the tokenizers library; equal chunks between blanks are
-encoded once for each worker's cache.
+Texts are encoded by the tokenizers library's model; equal words are encoded once
+for each worker's cache.
 
 Edge cases: a null text is an empty one and holds only the end id; null document
 ids come first; documents of equal id keep an order by content; extra columns are
@@ -20,8 +20,10 @@ ignored; an empty table writes no file and reads back as no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import BEYOND_LATIN, byte_chars, split_chunk, word_pattern
 from .common import materialize, new_path
 
 MAGIC = b"FVB1"
@@ -40,7 +43,8 @@ HEAD = struct.Struct("<4sIIQQQQ")  # magic, part, number, documents, ids, contro
 #: Ids of one file, about.
 FILE_IDS = 16_000_000
 NULL_ID = -(1 << 63)
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
+CACHE_CHARS = 48
 _ODD_BLANKS = regex.compile("[\x1c-\x1f\x85]")
 
 # Lengths of the four ids of each control byte.
@@ -85,7 +89,16 @@ class Encoder:
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = self._bytes([end_id])
-        self.cache: dict[str, bytes] = {}
+        spec = json.loads(self.tok.to_str())
+        self.model, self.chars = self.tok.model, byte_chars()
+        try:
+            self.pattern, self.plain = regex.compile(word_pattern(spec)), True
+        except ValueError:
+            self.plain = False
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -93,16 +106,51 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            chars = self.chars
+            ids = self._bytes([t.id for t in self.model.tokenize("".join([chars[b] for b in word.encode()]))])
+            if len(self.words) >= CACHE_ENTRIES:
+                self.words.clear()
+            if len(word) <= CACHE_CHARS:
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """What stands between blanks. Within Latin letters, Unicode versions agree
+        and the library's model gets the words; else the library does all."""
+        if not chunk.isascii():
+            if BEYOND_LATIN.search(chunk):
+                return self._library([chunk])[0]
+            chunk = unicodedata.normalize("NFC", chunk)
+        return b"".join(map(self._word, split_chunk(chunk.lower(), self.pattern)))
+
+    def _text(self, text: str | None) -> bytes:
+        if not text:
+            return self.end
+        if _ODD_BLANKS.search(text) or self.special and self.special.search(text):
+            return self._library([text])[0] + self.end
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            text = text.lower()
+        cache, out = self.chunks, []
+        for c in text.split():
+            ids = cache.get(c)
+            if ids is None:
+                ids = self._chunk(c)
+                if len(cache) >= CACHE_ENTRIES:
+                    cache.clear()
+                if len(c) <= CACHE_CHARS:
+                    cache[c] = ids
+            out.append(ids)
+        out.append(self.end)
+        return b"".join(out)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes of ``kind``."""
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        chunks = [None if t and _ODD_BLANKS.search(t) else (t or "").split() for t in texts]
-        new = list({c for row in chunks if row for c in row if c not in cache})
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self._library(new[i : i + 20_000]), strict=True))
-        return [(self._library([t])[0] if row is None else b"".join([cache[c] for c in row])) + self.end for t, row in zip(texts, chunks, strict=True)]
+        if not self.plain:  # a vocabulary whose steps aren't known here
+            return [self._library([t])[0] + self.end if t else self.end for t in texts]
+        return [self._text(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +164,9 @@ def encode(df: DataFrame, path: str, end_id: int, text: str = "text", out: str =
     @F.arrow_udf("binary")
     def to_ids(col: pa.Array) -> pa.Array:
         enc, texts, found = encoder(path, end_id), col.to_pylist(), []
-        for i in range(0, len(texts), 500):  # few texts' chunks are held at once
+        for i in range(0, len(texts), 500):
             found += enc.encode(texts[i : i + 500])
+            texts[i : i + 500] = [None] * len(texts[i : i + 500])  # not held any longer
         return pa.array(found, pa.binary())
 
     return df.withColumn(out, to_ids(F.col(text)))
