@@ -10,10 +10,12 @@ on a component with the probability Jaccard similarity of the sets.
 Documents of the same word sequence are one node. Bands of the signature give
 buckets; no bucket is expanded into all its pairs. Each is first compared with its
 most central member (the one that shares most buckets with others), then with a
-second, and only pairs of members that are still in different components remain,
-so a group of n copies costs about n comparisons. All comparisons are exact, on
-whole texts, and every candidate pair of a bucket is either compared or already
-joined through others. Components come from alternating large and small stars.
+second. Pairs of members that are then still in different components meet through
+signatures of 512 components, as byte matrices of bounded chunks, and those that
+agree enough (three standard errors below the threshold) are compared too. So a
+group of n copies costs about n comparisons of texts, no candidate is capped, and
+links are only ever made by exact comparison of whole texts. Components come from
+alternating large and small stars.
 
 Texts with fewer than five words are one shingle of all their words. Edge cases:
 null, empty and blank texts are classes of their own; rows of a null id take no
@@ -46,6 +48,11 @@ class Near:
     pivots: int = 2
     #: Comparisons of one pivot that share a task.
     spread: int = 200
+    #: Components of the second signature, for what pivots leave, the standard errors
+    #: below the asked similarity at which a pair is still compared, and members of a chunk.
+    long: int = 512
+    margin: float = 3.0
+    chunk: int = 256
 
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -187,6 +194,46 @@ def compare(pairs: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     return both.where(alike("ta", "tb")).select("a", "b")
 
 
+def remaining(members: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
+    """Pairs ``a, b`` of a bucket whose roots differ and whose long signatures agree
+    on a share that leaves the asked similarity likely.
+
+    Members get a signature of ``how.long`` components, and chunks of at most some
+    ``how.chunk`` members meet as byte matrices, so pairs that fail are never rows.
+    """
+    size, width = how.long, how.words
+    least = how.similarity - how.margin * (how.similarity * (1 - how.similarity) / size) ** 0.5
+
+    @F.arrow_udf("binary")
+    def long_signature(col: pa.Array) -> pa.Array:
+        return pa.array([(prob_minhash(*shingles(words_of(t), width), size) & np.uint64(255)).astype(np.uint8).tobytes() for t in col.to_pylist()], pa.binary())
+
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    signed = materialize(texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), long_signature("text").alias("bytes")), "near-long")
+    chunks = members.groupBy("bucket").agg(F.ceil(F.count("*") / how.chunk).cast("int").alias("chunks"))
+    dealt = members.join(chunks, "bucket").join(signed, "id").select("bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.struct("id", "root", "bytes").alias("m"))
+    packed = materialize(dealt.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms")), "near-chunks")  # a chunk is bounded
+    left, right = packed.select("bucket", F.col("chunk").alias("i"), F.col("ms").alias("x")), packed.select("bucket", F.col("chunk").alias("j"), F.col("ms").alias("y"))
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(batches):
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            sides = []
+            for ms in (row["x"], row["y"]):
+                sides.append((np.array([m["id"] for m in ms]), np.array([m["root"] for m in ms]), np.frombuffer(b"".join(m["bytes"] for m in ms), np.uint8).reshape(len(ms), size)))
+            (ia, ra, sa), (ib, rb, sb) = sides
+            found = []
+            for k in range(len(ia)):
+                other = np.flatnonzero((rb != ra[k]) & ((ib < ia[k]) if row["i"] == row["j"] else True))
+                if len(other):
+                    hit = other[(sb[other] == sa[k]).sum(axis=1) >= least * size]
+                    found.append((np.maximum(ib[hit], ia[k]), np.minimum(ib[hit], ia[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=kind)
+
+    return left.join(right, "bucket").where("i <= j").select("i", "j", "x", "y").mapInArrow(meet, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
     """``id, root``: the least id of the component of each id in ``a, b`` links."""
     low = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -228,8 +275,7 @@ def classes(docs: DataFrame, how: Near = Near(), text: str = "text", key: str =
             central = open_.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("id")).alias("minus"), "root")).alias("c")).select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.root").alias("of"))
             pairs = open_.join(central, "bucket").where(F.col("root") != F.col("of")).select(F.col("id").alias("a"), "b")
         else:
-            left, right = open_.select("bucket", F.col("id").alias("a"), "root"), open_.select("bucket", F.col("id").alias("b"), F.col("root").alias("of"))
-            pairs = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("of"))).select("a", "b")
+            pairs = remaining(open_.select("bucket", "id", "root"), texts, how)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
