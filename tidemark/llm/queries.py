@@ -34,6 +34,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP3_SQL = """
+with q as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
+), s as (
+  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as score
+  from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+)
+select query_id, cast(r as integer) as rank, vec_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) t where r <= 20
+"""
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .common import crc_mod
@@ -87,8 +110,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op4_langid, op5_neardup, op6_token_files, op7_pii, op8_toxicity, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_langid, op5_neardup, op6_token_files, op7_pii, op8_toxicity, op9_ring_shards, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": OP3_SQL}
