@@ -66,3 +66,22 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n))
+
+
+class Cache(dict):
+    """What ``make`` gives for each key; starts anew when it has ``most`` entries.
+
+    Keys longer than ``longest`` are made each time.
+    """
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BEYOND_LATIN, byte_chars, split_chunk, word_pattern
-from .common import materialize, new_path
+from .common import Cache, materialize, new_path
 
 MAGIC = b"FVB1"
 HEAD = struct.Struct("<4sIIQQQQ")  # magic, part, number, documents, ids, control bytes, data bytes
 #: Ids of one file, about.
 FILE_IDS = 16_000_000
 NULL_ID = -(1 << 63)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 CACHE_CHARS = 48
 _ODD_BLANKS = regex.compile("[\x1c-\x1f\x85]")
 
@@ -97,8 +97,8 @@ class Encoder:
             self.plain = False
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Cache(self._chunk, CACHE_ENTRIES, CACHE_CHARS)
+        self.words = Cache(self._word, CACHE_ENTRIES // 2, CACHE_CHARS)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -107,15 +107,8 @@ class Encoder:
         return [self._bytes(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            chars = self.chars
-            ids = self._bytes([t.id for t in self.model.tokenize("".join([chars[b] for b in word.encode()]))])
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            if len(word) <= CACHE_CHARS:
-                self.words[word] = ids
-        return ids
+        chars = self.chars
+        return self._bytes([t.id for t in self.model.tokenize("".join([chars[b] for b in word.encode()]))])
 
     def _chunk(self, chunk: str) -> bytes:
         """What stands between blanks. Within Latin letters, Unicode versions agree
@@ -124,7 +117,10 @@ class Encoder:
             if BEYOND_LATIN.search(chunk):
                 return self._library([chunk])[0]
             chunk = unicodedata.normalize("NFC", chunk)
-        return b"".join(map(self._word, split_chunk(chunk.lower(), self.pattern)))
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self.words[chunk]
+        return b"".join([self.words[w] for w in split_chunk(chunk, self.pattern)])
 
     def _text(self, text: str | None) -> bytes:
         if not text:
@@ -133,18 +129,8 @@ class Encoder:
             return self._library([text])[0] + self.end
         if text.isascii() or not BEYOND_LATIN.search(text):
             text = text.lower()
-        cache, out = self.chunks, []
-        for c in text.split():
-            ids = cache.get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                if len(c) <= CACHE_CHARS:
-                    cache[c] = ids
-            out.append(ids)
-        out.append(self.end)
-        return b"".join(out)
+        cache = self.chunks
+        return b"".join([cache[c] for c in text.split()]) + self.end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes of ``kind``."""
