@@ -194,12 +194,13 @@ def compare(pairs: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     return both.where(alike("ta", "tb")).select("a", "b")
 
 
-def remaining(members: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
+def remaining(members: DataFrame, texts: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
     """Pairs ``a, b`` of a bucket whose roots differ and whose long signatures agree
     on a share that leaves the asked similarity likely.
 
     Members get a signature of ``how.long`` components, and chunks of at most some
     ``how.chunk`` members meet as byte matrices, so pairs that fail are never rows.
+    A pair that shares several buckets comes from the first of them only.
     """
     size, width = how.long, how.words
     least = how.similarity - how.margin * (how.similarity * (1 - how.similarity) / size) ** 0.5
@@ -209,9 +210,9 @@ def remaining(members: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
         return pa.array([(prob_minhash(*shingles(words_of(t), width), size) & np.uint64(255)).astype(np.uint8).tobytes() for t in col.to_pylist()], pa.binary())
 
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    signed = materialize(texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), long_signature("text").alias("bytes")), "near-long")
+    signed = materialize(texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), long_signature("text").alias("bytes")).join(nodes.select(F.col("rep").alias("id"), "bands"), "id").dropDuplicates(["id"]), "near-long")
     chunks = members.groupBy("bucket").agg(F.ceil(F.count("*") / how.chunk).cast("int").alias("chunks"))
-    dealt = members.join(chunks, "bucket").join(signed, "id").select("bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.struct("id", "root", "bytes").alias("m"))
+    dealt = members.join(chunks, "bucket").join(signed, "id").select("bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.struct("id", "root", "bytes", "bands").alias("m"))
     packed = materialize(dealt.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("ms")), "near-chunks")  # a chunk is bounded
     left, right = packed.select("bucket", F.col("chunk").alias("i"), F.col("ms").alias("x")), packed.select("bucket", F.col("chunk").alias("j"), F.col("ms").alias("y"))
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -220,18 +221,20 @@ def remaining(members: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             sides = []
             for ms in (row["x"], row["y"]):
-                sides.append((np.array([m["id"] for m in ms]), np.array([m["root"] for m in ms]), np.frombuffer(b"".join(m["bytes"] for m in ms), np.uint8).reshape(len(ms), size)))
-            (ia, ra, sa), (ib, rb, sb) = sides
+                sides.append((np.array([m["id"] for m in ms]), np.array([m["root"] for m in ms]), np.frombuffer(b"".join(m["bytes"] for m in ms), np.uint8).reshape(len(ms), size), np.array([m["bands"] for m in ms])))
+            (ia, ra, sa, ba), (ib, rb, sb, bb) = sides
+            band = int(np.flatnonzero(ba[0] == row["bucket"])[0])
             found = []
             for k in range(len(ia)):
                 other = np.flatnonzero((rb != ra[k]) & ((ib < ia[k]) if row["i"] == row["j"] else True))
                 if len(other):
                     hit = other[(sb[other] == sa[k]).sum(axis=1) >= least * size]
+                    hit = hit[~(bb[hit, :band] == ba[k, :band]).any(axis=1)]
                     found.append((np.maximum(ib[hit], ia[k]), np.minimum(ib[hit], ia[k])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=kind)
 
-    return left.join(right, "bucket").where("i <= j").select("i", "j", "x", "y").mapInArrow(meet, "a long, b long")
+    return left.join(right, "bucket").where("i <= j").select("bucket", "i", "j", "x", "y").mapInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
@@ -275,7 +278,7 @@ def classes(docs: DataFrame, how: Near = Near(), text: str = "text", key: str =
             central = open_.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("id")).alias("minus"), "root")).alias("c")).select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.root").alias("of"))
             pairs = open_.join(central, "bucket").where(F.col("root") != F.col("of")).select(F.col("id").alias("a"), "b")
         else:
-            pairs = remaining(open_.select("bucket", "id", "root"), texts, how)
+            pairs = remaining(open_.select("bucket", "id", "root"), texts, nodes, how)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
