@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries of each cache (chunks between blanks, words); beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+from .common import Cache, claim, owns
+
+#: Entries of the caches of chunks between blanks and of words; a full one starts anew.
+CHUNKS, WORDS = 250_000, 600_000
 #: Longer ones are not kept.
 CACHE_CHARS = 48
 #: What Python splits at but the vocabulary's pattern does not.
@@ -122,8 +124,8 @@ class BacktrackingBpe:
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._word = regex.compile(word_pattern(spec))
         self._library = Tokenizer.from_file(path)  # its normalizer and pattern, for rare scripts
-        self._cache: dict[str, tuple[int, ...]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._cache = Cache(self._encode_chunk, CHUNKS, CACHE_CHARS)
+        self._words = Cache(self._encode_word, WORDS, CACHE_CHARS)
 
         by_id = {v: k for k, v in vocab.items()} | {v: k for k, v in self.special.items()}
         size = max(by_id) + 1
@@ -211,34 +213,18 @@ class BacktrackingBpe:
             return tuple(chain.from_iterable(self._encode_bytes(bytes([self._back[c] for c in p])) for p in pieces))
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
-        return tuple(chain.from_iterable(map(self._cached_word, split_chunk(chunk.lower(), self._word))))
-
-    def _cached_word(self, word: str) -> tuple[int, ...]:
-        ids = self._words.get(word)
-        if ids is None:
-            ids = self._encode_word(word)
-            if len(self._words) >= CACHE_ENTRIES:
-                self._words.clear()
-            if len(word) <= CACHE_CHARS:
-                self._words[word] = ids
-        return ids
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self._words[chunk]
+        return tuple(chain.from_iterable([self._words[w] for w in split_chunk(chunk, self._word)]))
 
     def _encode_plain(self, text: str) -> list[int]:
         if _ODD_BLANKS.search(text):
             return list(self._encode_chunk(text))
         if text.isascii() or not BEYOND_LATIN.search(text):
             text = text.lower()
-        cache, found = self._cache, []
-        for c in text.split():
-            ids = cache.get(c)
-            if ids is None:
-                ids = self._encode_chunk(c)
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                if len(c) <= CACHE_CHARS:
-                    cache[c] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        cache = self._cache
+        return list(chain.from_iterable([cache[c] for c in text.split()]))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -268,9 +254,13 @@ class BacktrackingBpe:
 @lru_cache(maxsize=4)
 def load(path: str) -> BacktrackingBpe:
     """One per worker process and vocabulary."""
+    claim("bpe")
     return BacktrackingBpe(path)
 
 
+owns("bpe", load.cache_clear)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``, the ids of the whole text (array<int>; empty for null)."""
 

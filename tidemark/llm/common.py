@@ -85,3 +85,22 @@ class Cache(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_CLEAR: dict[str, list] = {}
+_USER: list[str] = []
+
+
+def owns(user: str, *clear) -> None:
+    """Registers what empties an operator's caches in this process."""
+    _CLEAR.setdefault(user, []).extend(clear)
+
+
+def claim(user: str) -> None:
+    """Empties other operators' caches when a reused worker turns to this one."""
+    if _USER != [user]:
+        for other, clear in _CLEAR.items():
+            if other != user:
+                for f in clear:
+                    f()
+        _USER[:] = [user]

@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -221,6 +223,7 @@ def predict(df: DataFrame, model: tuple[list[str], list], fit: Fit = Fit(), text
 
     @F.arrow_udf("lang_pred string, score double")
     def guess(col: pa.Array) -> pa.Array:
+        claim("langid")
         m = own.get(0)
         if m is None:
             m = own[0] = Model(*shared.value, fit)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import claim, materialize, owns, words_of
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,7 @@ class Near:
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: dict[str, int] = {}
+owns("neardup", _WORDS.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +72,7 @@ def shingles(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending 64-bit hashes of the word shingles, and their counts."""
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(_WORDS) > 600_000:
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     codes = []
     for w in words:
@@ -161,6 +162,7 @@ def sign(docs: DataFrame, how: Near, text: str, key: str) -> DataFrame:
 
     @F.arrow_udf("node binary, bands array<long>")
     def run(col: pa.Array) -> pa.Array:
+        claim("neardup")
         return pa.array([dict(zip(("node", "bands"), digest(t, how), strict=True)) for t in col.to_pylist()], kind)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), run(F.col(text)).alias("s")).select("doc_id", "s.node", "s.bands")
@@ -178,6 +180,7 @@ def compare(pairs: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def alike(ta: pa.Array, tb: pa.Array) -> pa.Array:
+        claim("neardup")
         kept: OrderedDict[str, tuple] = OrderedDict()
 
         def of(t: str) -> tuple:

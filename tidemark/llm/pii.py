@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 DEFAULT_KEY = b"rotate-me"
 ROUNDS = 8
 
@@ -276,6 +278,7 @@ def pseudonymize(df: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", co
 
     @F.arrow_udf("t string, n long")
     def run(col: pa.Array) -> pa.Array:
+        claim("pii")
         rows = []
         for t in col.to_pylist():
             new, made = replace(t, key) if t else (t, [])

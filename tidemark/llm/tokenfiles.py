@@ -23,8 +23,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BEYOND_LATIN, byte_chars, split_chunk, word_pattern
-from .common import Cache, materialize, new_path
+from .common import Cache, claim, materialize, new_path, owns
 
 MAGIC = b"FVB1"
 HEAD = struct.Struct("<4sIIQQQQ")  # magic, part, number, documents, ids, control bytes, data bytes
 #: Ids of one file, about.
 FILE_IDS = 16_000_000
 NULL_ID = -(1 << 63)
-CACHE_ENTRIES = 700_000
+#: Entries of the caches of chunks between blanks and of words.
+CHUNKS, WORDS = 250_000, 1_000_000
 CACHE_CHARS = 48
 _ODD_BLANKS = regex.compile("[\x1c-\x1f\x85]")
 
@@ -88,6 +91,7 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self._bytes([end_id])
         spec = json.loads(self.tok.to_str())
         self.model, self.chars = self.tok.model, byte_chars()
@@ -97,11 +101,11 @@ class Encoder:
             self.plain = False
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.chunks = Cache(self._chunk, CACHE_ENTRIES, CACHE_CHARS)
-        self.words = Cache(self._word, CACHE_ENTRIES // 2, CACHE_CHARS)
+        self.chunks = Cache(self._chunk, CHUNKS, CACHE_CHARS)
+        self.words = Cache(self._word, WORDS, CACHE_CHARS)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -144,11 +148,15 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+owns("tokenfiles", encoder.cache_clear)
+
+
 def encode(df: DataFrame, path: str, end_id: int, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: ids as little-endian bytes of the vocabulary's width, end id last."""
 
     @F.arrow_udf("binary")
     def to_ids(col: pa.Array) -> pa.Array:
+        claim("tokenfiles")
         enc, texts, found = encoder(path, end_id), col.to_pylist(), []
         for i in range(0, len(texts), 500):
             found += enc.encode(texts[i : i + 500])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, owns
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -42,12 +44,13 @@ class Fit:
 
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|~`_-+=/\\…«»“”„‘’¿¡"
 _WORDS: dict[str, int] = {}
+owns("toxicity", _WORDS.clear)
 
 
 def _word_hash(chunk: str) -> int:
     """crc32 of the chunk in lower case without punctuation at its ends; 0 for none."""
     h = zlib.crc32(w.encode()) or 1 if (w := chunk.lower().strip(_EDGES)) else 0
-    if len(_WORDS) >= 600_000:
+    if len(_WORDS) >= 400_000:
         _WORDS.clear()
     if len(chunk) <= 48:
         _WORDS[chunk] = h
@@ -133,6 +136,7 @@ def train(rows: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
     """Fits in one task over the bounded sample and returns the compact weights."""
 
     def run(batches):
+        claim("toxicity")
         docs, labels = [], []
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
@@ -158,6 +162,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], fit: Fit = Fi
 
     @F.arrow_udf("double")
     def probability(col: pa.Array) -> pa.Array:
+        claim("toxicity")
         at, w = shared.value
         dense = np.zeros((1 << fit.bits) + 1, np.float32)
         np.add.at(dense, at, w)  # the intercept comes in two parts
