@@ -31,7 +31,7 @@ def safe_name(name: str) -> str:
 
 
 def parts(uid: str | Column = "unique_id") -> Column:
-    return F.transform(F.split(F.col(uid) if isinstance(uid, str) else uid, r"\+"), F.trim)
+    return F.transform(F.split(F.col(uid) if isinstance(uid, str) else uid, r"\+"), lambda x: F.trim(x))
 
 
 def excluded_parts(uids: list[str], wanted: list[str]) -> set[str]:

@@ -21,6 +21,11 @@ def ordered(order: list[str], **values: str | Column) -> Column:
     return F.array_sort(F.collect_list(row))
 
 
+def field(rows: str | Column, name: str) -> Column:
+    """One field of each struct of an array."""
+    return F.transform(rows, lambda r: r[name])
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
