@@ -129,7 +129,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str =
     rate = min(1.0, fit.max_rows / total) if total else 1.0
     sample = known.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(rate * 1_000_003)).select(F.col(key).alias("__key"), "label")
     # The sample's ids are a bounded table.
-    return docs.join(F.broadcast(sample), F.col(key) == F.col("__key")).select(F.col(text).alias("text"), "label", F.xxhash64(key, text).alias("turn"))
+    own = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"))
+    return own.join(F.broadcast(sample), F.col("__id") == F.col("__key")).select("text", "label", F.xxhash64("__id", "text").alias("turn"))
 
 
 def train(rows: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
