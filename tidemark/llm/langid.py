@@ -3,7 +3,7 @@
 Each language has a smoothed character n-gram model: the likelihood of a word is
 the product of its letters' probabilities given the letters before, with orders 1
 to ``order`` interpolated. A text is a mixture: expectation-maximisation over its
-distinct chunks estimates the share of each language. Starting from all languages,
+distinct words estimates the share of each language. Starting from all languages,
 the set is thinned: the language with the least share goes as long as the
 penalised likelihood (BIC, ``penalty`` times half log n for each language) does
 not fall. The prediction is the language with the largest share.
@@ -64,12 +64,11 @@ def _codes(points: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 class Model:
-    """n-gram tables of all languages and a cache of chunk likelihoods.
-
-    A chunk is what white space parts; its likelihood is that of its words.
-    """
+    """n-gram tables of all languages and a cache of word likelihoods."""
 
     ROWS = 400_000
+    #: Texts whose new words are looked up together.
+    TOGETHER = 128
 
     def __init__(self, languages: list[str], rows: list[tuple[str, list[float]]], fit: Fit):
         self.languages, self.fit = languages, fit
@@ -82,24 +81,15 @@ class Model:
         self._known: dict[str, int] = {}
         self._rows = np.zeros((4096, len(languages)), np.float32)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the likelihoods of new chunks into the cache; chunks without a letter get -1."""
-        words, of = [], []
-        for i, c in enumerate(chunks):
-            for w in _LETTERS.findall(c):
-                words.append(w.lower())
-                of.append(i)
-        have = np.zeros(len(chunks), bool)
-        have[of] = True
-        found = np.zeros((len(chunks), len(self.languages)))
-        for i in range(0, len(words), 50_000):
-            np.add.at(found, np.array(of[i : i + 50_000]), self._words(words[i : i + 50_000]))
-        base, n = len(self._known), len(chunks)
+    def _learn(self, words: list[str]) -> None:
+        """Puts the likelihoods of new words into the cache."""
+        base, n = len(self._known), len(words)
         while base + n > len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-        self._rows[base : base + n] = found
-        for i, c in enumerate(chunks):
-            self._known[c] = base + i if have[i] else -1 - base - i
+        for i in range(0, n, 50_000):
+            part = words[i : i + 50_000]
+            self._rows[base + i : base + i + len(part)] = self._words(part)
+        self._known.update(zip(words, range(base, base + n), strict=True))
 
     def _words(self, words: list[str]) -> np.ndarray:
         """Log likelihoods of words; a blank begins and ends each."""
@@ -122,22 +112,24 @@ class Model:
 
     def shares(self, text: str | None) -> np.ndarray | None:
         """Share of each language; None without a letter."""
-        counts = Counter(text.split()) if text else None
-        if not counts or not self.languages:
-            return None
-        known = self._known
-        if len(known) > self.ROWS:
-            known.clear()
-        new = [c for c in counts if c not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+        return self.all_shares([text])[0]
+
+    def all_shares(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        out = []
+        for i in range(0, len(texts), self.TOGETHER):
+            counts = [Counter(_LETTERS.findall(t.lower())) if t else None for t in texts[i : i + self.TOGETHER]]
+            new = {w for c in counts if c for w in c if w not in self._known}
+            if new and len(self._known) + len(new) > self.ROWS:
+                self._known.clear()
+                new = {w for c in counts if c for w in c}
+            if new and self.languages:
+                self._learn(list(new))
+            out += [self._mixture(c) if c and self.languages else None for c in counts]
+        return out
+
+    def _mixture(self, counts: Counter) -> np.ndarray:
+        at = np.fromiter(map(self._known.__getitem__, counts), np.int64, len(counts))
         c = np.fromiter(counts.values(), np.float64, len(counts))
-        lettered = at >= 0
-        if not lettered.all():
-            at, c = at[lettered], c[lettered]
-        if not len(at):
-            return None
         like = self._rows[at].astype(np.float64)
         like = np.ascontiguousarray(np.exp(like - like.max(axis=1, keepdims=True)).T)
         total, n = c.sum(), len(self.languages)
@@ -167,12 +159,13 @@ class Model:
                 break
         return share, float(c @ np.log(np.maximum(share @ like, 1e-300)))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        share = self.shares(text)
-        if share is None:
-            return "und", 0.0
-        best = int(np.argmax(share))
-        return self.languages[best], float(min(1.0, share[best]))
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language of the largest share, and that share."""
+        out = []
+        for share in self.all_shares(texts):
+            best = 0 if share is None else int(np.argmax(share))
+            out.append(("und", 0.0) if share is None else (self.languages[best], float(min(1.0, share[best]))))
+        return out
 
 
 def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[tuple[str, list[float]]]]:
@@ -227,6 +220,6 @@ def predict(df: DataFrame, model: tuple[list[str], list], fit: Fit = Fit(), text
         m = own.get(0)
         if m is None:
             m = own[0] = Model(*shared.value, fit)
-        return pa.array([dict(zip(("lang_pred", "score"), m.predict(t), strict=True)) for t in col.to_pylist()], kind)
+        return pa.array([dict(zip(("lang_pred", "score"), x, strict=True)) for x in m.predict(col.to_pylist())], kind)
 
     return df.withColumn("__guess", guess(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")], F.col("__guess.lang_pred").alias("lang_pred"), F.col("__guess.score").alias("score"))
