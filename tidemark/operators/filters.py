@@ -48,7 +48,7 @@ def filter_sources(df: DataFrame, sources: list[str], extra: Column | None = Non
     good = named.join(bad, "unique_id", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(any_hit), "_one", "left_semi").select("unique_id")
     if extra is not None:
         good = good.unionByName(named.where(extra)).distinct()
-    return df.join(good, "unique_id", "left_semi")
+    return df.join(good, "unique_id", "left_semi").select(*df.columns)
 
 
 def filter_tables(

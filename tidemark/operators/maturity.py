@@ -73,7 +73,7 @@ def common_sample(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     each = df.select(*pair, "unique_id").distinct()
     all_ = df.select(*group, "unique_id").distinct().groupBy(*group).agg(F.count("*").alias("_all"))
     have = each.groupBy(*pair).agg(F.count("*").alias("_have")).join(all_, group).where(F.col("_have") == F.col("_all")).select(*pair)
-    return df.join(have, pair, "left_semi")
+    return df.join(have, pair, "left_semi").select(*df.columns)
 
 
 def with_horizon(df: DataFrame) -> DataFrame:
