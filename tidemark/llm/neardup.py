@@ -12,7 +12,7 @@ buckets; no bucket is expanded into all its pairs. Each is first compared with i
 most central member (the one that shares most buckets with others), then with a
 second. Pairs of members that are then still in different components meet through
 signatures of 512 components, as byte matrices of bounded chunks, and those that
-agree enough (three standard errors below the threshold) are compared too. So a
+agree enough (six standard errors below the threshold) are compared too. So a
 group of n copies costs about n comparisons of texts, no candidate is capped, and
 links are only ever made by exact comparison of whole texts. Components come from
 alternating large and small stars.
@@ -51,7 +51,7 @@ class Near:
     #: Components of the second signature, for what pivots leave, the standard errors
     #: below the asked similarity at which a pair is still compared, and members of a chunk.
     long: int = 512
-    margin: float = 3.0
+    margin: float = 6.0
     chunk: int = 256
 
 
