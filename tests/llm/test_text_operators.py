@@ -188,6 +188,34 @@ def test_surnames_stay_one_person():
     assert set(names) == {"Maria", "Lopez"} and new.count(names["Lopez"]) == 2 and new.count(names["Maria"]) == 2
 
 
+@pytest.mark.parametrize("n", [513, 2000, 40_000])
+def test_long_secrets_are_replaced_whole(n):
+    secret = "".join("aZ3kQ9xB_7"[(i * i + i // 7) % 10] for i in range(n))
+    new, made = pii.replace(f"token={secret} end", b"k")
+    assert [m[:2] for m in made] == [("secret", secret)] and new == f"token={made[0][2]} end" and len(made[0][2]) == n
+    kept = [a == b for a, b in zip(secret, made[0][2], strict=True) if a != "_"]
+    assert sum(kept) < 0.2 * len(kept) and not all(kept[-40:])
+    others = [secret[:-1] + "b", "b" + secret[1:]]
+    assert len({pii.replace(f"token={x}", b"k")[0][-60:] for x in (secret, *others)}) == 3
+    assert len({pii.replace(f"token={x}", b"k")[0][:60] for x in (secret, *others)}) == 3
+
+
+def test_blocks_are_a_permutation(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert len({tuple(pii._feistel(b"k", "t", [a, b, c, d, e], [2, 3, 4, 2, 3])) for a in range(2) for b in range(3) for c in range(4) for d in range(2) for e in range(3)}) == 144
+
+
+def test_long_numbers_are_replaced_whole():
+    long = "123456789012345678901234"
+    new, made = pii.replace(f"no {long} x", b"k")
+    assert [m[:2] for m in made] == [("number", long)] and len(new) == len(long) + 5 and long[:12] not in new and long[12:] not in new
+    card = "4111 1111 1111 1111"
+    alone = pii.replace(card, b"k")[0]
+    assert pii.replace(f"{card} {card}", b"k")[0] == f"{alone} {alone}"
+    grouped = "1234 5678 9012 3456 7890 1234"
+    assert sum(sum(c.isdigit() for c in m[1]) for m in pii.replace(grouped, b"k")[1]) == 24
+
+
 def test_pseudonymize_edges(odd, none):
     out = pii.pseudonymize(odd, count="n")
     assert out.count() == odd.count() and out.where("doc_id = 2 and text is null").count() == 1

@@ -32,6 +32,8 @@ from .common import claim
 
 DEFAULT_KEY = b"rotate-me"
 ROUNDS = 8
+#: Characters of a value that are permuted as one number.
+BLOCK = 512
 
 # -- names --------------------------------------------------------------------
 _GIVEN = {
@@ -59,6 +61,8 @@ _ASCII = {c: a for a in ("0123456789", _LOWER, _UPPER) for c in a}
 
 def _feistel(key: bytes, tweak: str, values: list[int], bases: list[int]) -> list[int]:
     """A keyed permutation of all tuples with these bases."""
+    if len(bases) > BLOCK:
+        return _chained(key, tweak, values, bases)
     half = (len(bases) + 1) // 2
     parts = [values[:half], values[half:]]
     sides = [bases[:half], bases[half:]]
@@ -74,7 +78,7 @@ def _feistel(key: bytes, tweak: str, values: list[int], bases: list[int]) -> lis
         i = r % 2
         other = numbers[1 - i]
         seed = hashlib.blake2b(f"{tweak}|{r}|{other}".encode(), key=hashlib.sha256(key).digest(), digest_size=64).digest()
-        wide = seed if sizes[i] < 1 << 448 else b"".join(hashlib.blake2b(seed + bytes([j]), digest_size=64).digest() for j in range(sizes[i].bit_length() // 512 + 2))
+        wide = seed if sizes[i] < 1 << 448 else b"".join(hashlib.blake2b(seed + j.to_bytes(4), digest_size=64).digest() for j in range(sizes[i].bit_length() // 512 + 2))
         numbers[i] = (numbers[i] + int.from_bytes(wide)) % sizes[i]
     out = []
     for x, base in zip(numbers, sides, strict=True):
@@ -86,6 +90,20 @@ def _feistel(key: bytes, tweak: str, values: list[int], bases: list[int]) -> lis
     return out
 
 
+def _chained(key: bytes, tweak: str, values: list[int], bases: list[int]) -> list[int]:
+    """The same for very long tuples: blocks, each permuted by what the ones before it
+    became, forwards and then backwards, so time grows with the length."""
+    shape = hashlib.blake2b(tweak.encode(), digest_size=32).hexdigest()
+    for way in ("to", "fro"):
+        out, last = [], hashlib.blake2b(digest_size=32)
+        for i in range(0, len(bases), BLOCK):
+            made = _feistel(key, f"{shape}|{way}|{i}|{last.hexdigest()}", values[i : i + BLOCK], bases[i : i + BLOCK])
+            last.update(bytes(made))
+            out += made
+        values, bases = out[::-1], bases[::-1]
+    return values
+
+
 def _permute(key: bytes, tweak: str, s: str, classes: list[str | None], same=None) -> str:
     """Replaces the characters that have a class; ``same`` must stay true of the result."""
     at = [i for i, c in enumerate(classes) if c]
@@ -209,12 +227,14 @@ SURROGATE = {"email": _email, "ip": _ip, "number": _number, "secret": _secret, "
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
-_SECRET = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_.~-]{6,512})")
+_SECRET = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_.~-]{6,})")
 _ACCESS = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
-#: Nine digits or more, alone or in groups that one separator each parts.
-_NUMBER = re.compile(r"(?<![\d.])\+?\(?\d(?:[ ./()-]{0,2}\d){8,18}(?!\d)")
+#: Nine digits or more, alone or in groups that one separator each parts; and a number
+#: of up to 19 among several that only a separator parts.
+_NUMBER = re.compile(r"(?<![\d.])\+?\(?\d(?:[ ./()-]{0,2}\d){8,}(?!\d)")
+_ONE_NUMBER = re.compile(r"(?<![\d.])\+?\(?\d(?:[ ./()-]{0,2}\d){8,18}(?!\d)")
 _DIGIT = re.compile(r"\d")
 
 
@@ -223,6 +243,27 @@ def _valid_iban(s: str) -> bool:
     return 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
 
 
+def _numbers(text: str):
+    """Spans of numbers. What has more than 19 digits is cut where a shorter number begins
+    or ends, so a card beside another stays a card; every part is a span."""
+    for m in _NUMBER.finditer(text):
+        b, e = m.span()
+        if sum(c.isdigit() for c in m[0]) <= 19:
+            yield b, e
+            continue
+        cuts = {b, e}
+        for one in _ONE_NUMBER.finditer(text, b, e):
+            cuts.update(one.span())
+        cuts = sorted(cuts)
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            while x < y and not text[x].isdigit() and text[x] not in "+(":
+                x += 1
+            while x < y and not text[y - 1].isdigit():
+                y -= 1
+            if x < y:
+                yield x, y
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans and types of entities, in order, without overlaps; earlier detectors win."""
     spans: list[tuple[int, int, str]] = []
@@ -237,7 +278,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             spans += [(*m.span(), "ip") for m in _IP.finditer(text)]
         spans += [(*m.span(), "mac") for m in _MAC.finditer(text)] if ":" in text or "-" in text else []
         spans += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _valid_iban(m[0])]
-        spans += [(*m.span(), "number") for m in _NUMBER.finditer(text)]
+        spans += [(*at, "number") for at in _numbers(text)]
     if _ANY_TITLE.search(text):
         words = set()
         for m in _NAME.finditer(text):
