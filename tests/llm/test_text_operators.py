@@ -216,6 +216,23 @@ def test_long_numbers_are_replaced_whole():
     assert sum(sum(c.isdigit() for c in m[1]) for m in pii.replace(grouped, b"k")[1]) == 24
 
 
+@pytest.mark.parametrize("zero", ["\u0660", "\u0966", "\uff10"], ids=["arabic-indic", "devanagari", "fullwidth"])
+@pytest.mark.parametrize("kind,plain", [("number", "4111 1111 1111 1111"), ("number", "030 1234 56789"), ("number", "123456789012345678901234"), ("ip", "192.168.4.7")])
+def test_digits_of_other_scripts(zero, kind, plain):
+    own = {ord("0") + i: chr(ord(zero) + i) for i in range(10)}
+    text = plain.translate(own)
+    new, made = pii.replace(f"x {text} y", b"k")
+    assert [m[:2] for m in made] == [(kind, text)] and made[0][2] != text and not re.search("[0-9]", new)
+    assert {c for c in made[0][2] if c.isdecimal()} <= set(own.values())
+    assert pii._is_card(made[0][2]) == pii._is_card(plain)
+
+
+def test_mixed_scripts_and_superscripts():
+    for text in ("1\u0662\u0663.1.1.1 and 12\uff13\u0664 5678 \u09679", "x\u00b2\u00b3 12345\u00b2678901", "GB\u0668\u0662 WEST 1234 5698 7654 32"):
+        new, made = pii.replace(text, b"k")
+        assert len(new) == len(text) and [c.isdecimal() for c in new] == [c.isdecimal() for c in text]
+
+
 def test_pseudonymize_edges(odd, none):
     out = pii.pseudonymize(odd, count="n")
     assert out.count() == odd.count() and out.where("doc_id = 2 and text is null").count() == 1

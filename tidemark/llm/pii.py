@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -56,6 +57,7 @@ _ALPHABETS += ["αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙ
 _ALPHABETS += ["áéíóúàèùâêîôûäëïöü", "çñ", "ÁÉÍÓÚÀÈÙÂÊÎÔÛÄËÏÖÜ", "ÇÑ"]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
 _ASCII = {c: a for a in ("0123456789", _LOWER, _UPPER) for c in a}
 
 
@@ -129,8 +131,19 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _ascii_digits(s: str) -> str:
+    """Digits of any script as ASCII digits, the rest as it is."""
+    return s if s.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), s)
+
+
+def _digits_of(c: str) -> str:
+    """The ten digits of a digit's script."""
+    zero = ord(c) - unicodedata.decimal(c)
+    return "".join(map(chr, range(zero, zero + 10)))
+
+
 def _only_digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+    return "".join(c for c in _ascii_digits(s) if c.isdecimal())
 
 
 def _is_card(s: str) -> bool:
@@ -139,28 +152,33 @@ def _is_card(s: str) -> bool:
 
 
 def _number(key: bytes, s: str) -> str:
-    """Phone, card and account numbers: separators and the first digit's kind stay."""
+    """Phone, card and account numbers: separators, each digit's script and the first digit's kind stay."""
     card, first, classes = _is_card(s), True, []
     for c in s:
-        classes.append(None if not c.isdigit() else "123456789" if first and c != "0" else None if first else "0123456789")
-        first = first and not c.isdigit()
+        if not c.isdecimal():
+            classes.append(None)
+            continue
+        ten = _digits_of(c)
+        classes.append(ten if not first else ten[1:] if c != ten[0] else None)
+        first = False
     if card:  # the last digit follows from the others
-        last = max(i for i, c in enumerate(s) if c.isdigit())
+        last = max(i for i, c in enumerate(s) if c.isdecimal())
+        ten = _digits_of(s[last])
         classes[last] = None
-        out = _permute(key, "card", s[:last] + "0" + s[last + 1 :], classes)
-        return next(x for d in "0123456789" if _luhn(_only_digits(x := out[:last] + d + out[last + 1 :])))
+        out = _permute(key, "card", s[:last] + ten[0] + s[last + 1 :], classes)
+        return next(x for d in ten if _luhn(_only_digits(x := out[:last] + d + out[last + 1 :])))
     return _permute(key, "number", s, classes, lambda x: not _is_card(x))
 
 
 def _ip(key: bytes, s: str) -> str:
-    a = ipaddress.IPv4Address(s)
+    a = ipaddress.IPv4Address(_ascii_digits(s))
     kind = (a.is_private, a.is_loopback, a.is_multicast, a.is_reserved)
     values = list(a.packed)
     while True:
         values = _feistel(key, "ip", values, [256] * 4)
         b = ipaddress.IPv4Address(bytes(values))
         if (b.is_private, b.is_loopback, b.is_multicast, b.is_reserved) == kind:
-            return str(b)
+            return str(b).translate(dict(zip(range(48, 58), _digits_of(s[0]), strict=True)))
 
 
 def _cased(model: str, s: str) -> str:
@@ -230,7 +248,7 @@ _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0
 _SECRET = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_.~-]{6,})")
 _ACCESS = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 #: Nine digits or more, alone or in groups that one separator each parts; and a number
 #: of up to 19 among several that only a separator parts.
 _NUMBER = re.compile(r"(?<![\d.])\+?\(?\d(?:[ ./()-]{0,2}\d){8,}(?!\d)")
@@ -238,6 +256,10 @@ _ONE_NUMBER = re.compile(r"(?<![\d.])\+?\(?\d(?:[ ./()-]{0,2}\d){8,18}(?!\d)")
 _DIGIT = re.compile(r"\d")
 
 
+def _one_script(s: str) -> bool:
+    return s.isascii() or len({_digits_of(c) for c in s if c.isdecimal()}) == 1
+
+
 def _valid_iban(s: str) -> bool:
     body = "".join(c for c in s if c.isalnum())
     return 15 <= len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
@@ -248,7 +270,7 @@ def _numbers(text: str):
     or ends, so a card beside another stays a card; every part is a span."""
     for m in _NUMBER.finditer(text):
         b, e = m.span()
-        if sum(c.isdigit() for c in m[0]) <= 19:
+        if sum(c.isdecimal() for c in m[0]) <= 19:
             yield b, e
             continue
         cuts = {b, e}
@@ -256,9 +278,9 @@ def _numbers(text: str):
             cuts.update(one.span())
         cuts = sorted(cuts)
         for x, y in zip(cuts, cuts[1:], strict=False):
-            while x < y and not text[x].isdigit() and text[x] not in "+(":
+            while x < y and not text[x].isdecimal() and text[x] not in "+(":
                 x += 1
-            while x < y and not text[y - 1].isdigit():
+            while x < y and not text[y - 1].isdecimal():
                 y -= 1
             if x < y:
                 yield x, y
@@ -275,7 +297,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(*m.span(), "access_key") for m in _ACCESS.finditer(text)]
     if _DIGIT.search(text):
         if "." in text:
-            spans += [(*m.span(), "ip") for m in _IP.finditer(text)]
+            spans += [(*m.span(), "ip") for m in _IP.finditer(_ascii_digits(text)) if _one_script(text[slice(*m.span())])]
         spans += [(*m.span(), "mac") for m in _MAC.finditer(text)] if ":" in text or "-" in text else []
         spans += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _valid_iban(m[0])]
         spans += [(*at, "number") for at in _numbers(text)]
