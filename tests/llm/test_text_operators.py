@@ -233,6 +233,28 @@ def test_mixed_scripts_and_superscripts():
         assert len(new) == len(text) and [c.isdecimal() for c in new] == [c.isdecimal() for c in text]
 
 
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ("In 'Dr Priya Sharma' it is; Priya and Sharma agreed.", "Priya Sharma"),
+        ("Ms Anna-Lena Berg met Berg. Anna-Lena left.", "Anna-Lena Berg"),
+        ("Mr O'Brien had blood type O and O'Brien's car.", "O'Brien"),
+        ("Mr O\u2019Brien-Smith\u2019s idea", "O\u2019Brien-Smith"),
+        ("Monsieur Jean-Marc d'Estaing de la Tour spoke", "Jean-Marc d'Estaing Tour"),
+        ("Herr Prof. Dr. Maria Theresia Yilmaz kam", "Maria Theresia Yilmaz"),
+        ("Dr J. R. Kowalski and Mrs A.B. Novak went", "J R Kowalski A B Novak"),
+        ("Mr Smith I know, a Smith-led team", "Smith"),
+        ("\u0413\u043e\u0441\u043f\u043e\u0434\u0438\u043d \u0418\u0432\u0430\u043d \u0420\u0438\u043c\u0441\u043a\u0438\u0439-\u041a\u043e\u0440\u0441\u0430\u043a\u043e\u0432 \u0437\u0434\u0435\u0441\u044c", "\u0418\u0432\u0430\u043d \u0420\u0438\u043c\u0441\u043a\u0438\u0439-\u041a\u043e\u0440\u0441\u0430\u043a\u043e\u0432"),
+    ],
+)
+def test_names_are_replaced_whole(text, names):
+    new, made = pii.replace(text, b"k")
+    assert {m[1] for m in made} == set(names.split()) and {m[0] for m in made} == {"name"}
+    for n in names.split():
+        assert len(n) == 1 or not re.search(rf"\b{re.escape(n)}\b", new)
+    assert "type O" in new or "type O" not in text
+
+
 def test_pseudonymize_edges(odd, none):
     out = pii.pseudonymize(odd, count="n")
     assert out.count() == odd.count() and out.where("doc_id = 2 and text is null").count() == 1

@@ -9,8 +9,10 @@ Within a type and format the replacement is a keyed permutation (an unbalanced
 Feistel network over the variable characters, walked on until the format is the
 same again). So one entity has one surrogate wherever it appears, and different
 entities never share one: distinctness needs no table of all entities, and
-nothing is gathered. :func:`collisions` checks it on given data. A surname that
-follows a title is replaced in its later mentions too.
+nothing is gathered. :func:`collisions` checks it on given data. Of names, every
+capitalised word in the run that follows a title is replaced, compounds and words
+with an apostrophe as one, and in all other mentions too (a lone letter only there).
+Particles (van, de la) stay. So does a name that nowhere in the text follows a title.
 
 Edge cases: a null text stays null, an empty one empty; very long texts are
 scanned whole; other characters stay in place; equal texts give equal results;
@@ -47,7 +49,14 @@ _GIVEN = {
 }
 _GIVEN_AT = {n: (k, i) for k, names in _GIVEN.items() for i, n in enumerate(names)}
 _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mademoiselle Mme Señor Señora Sra Господин Госпожа Κύριος Κυρία".split()
-_NAME = re.compile(r"\b(?:" + "|".join(_TITLES) + r")\b\.? (?P<first>[^\W\d_]+)(?: (?P<last>[^\W\d_]{2,}))?")
+_TITLED = re.compile(r"\b(?:(?:" + "|".join(_TITLES) + r")\b\.? )+")
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])+"
+_NAME_WORD = re.compile(rf"{_LETTER}(?:['\u2019\u2010\u2011-]{_LETTER})*")
+#: Lower-case words within a name; they stay.
+_PARTICLES = set("van von der den de la le les du da di del della do dos das des zu zum zur af av ten ter bin ibn y".split())
+_JOINT = re.compile(r"['\u2019\u2010\u2011-]")
+#: What follows a name without belonging to it: "'s" and the like, "-led".
+_AFTER = re.compile(r"['\u2019](?:s|S|d|ll|re|ve|m)$|[\u2010\u2011-][^\W\d_]+$")
 _ANY_TITLE = re.compile(r"\b(?:" + "|".join(_TITLES) + r")\b")
 
 # -- characters -----------------------------------------------------------------
@@ -286,6 +295,38 @@ def _numbers(text: str):
                 yield x, y
 
 
+def _bare(word: str) -> str:
+    """A capitalised word without endings that are no part of the name."""
+    while (m := _AFTER.search(word)) and not m[0][1].isupper() and any(p[:1].isupper() for p in _JOINT.split(word[: m.start()])):
+        word = word[: m.start()]
+    return word
+
+
+def _name_words(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans of the capitalised words that follow a title up to ``at``, over particles and initials."""
+    out: list[tuple[int, int]] = []
+    initial = False  # the last word is one letter without a full stop
+    while m := _NAME_WORD.match(text, at):
+        b, e = m.span()
+        if any(p[:1].isupper() for p in _JOINT.split(m[0])):
+            e = b + len(_bare(m[0]))
+            out.append((b, e))
+        elif m[0] not in _PARTICLES:
+            break
+        at = m.end()
+        initial = at - b == 1
+        if initial and text[at : at + 1] == ".":
+            at, initial = at + 1, False
+            if _NAME_WORD.match(text, at):
+                continue
+        if e < m.end() or text[at : at + 1] != " ":
+            break
+        at += 1
+    if initial and len(out) > 1:  # as in "Mr Smith I know"
+        out.pop()
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans and types of entities, in order, without overlaps; earlier detectors win."""
     spans: list[tuple[int, int, str]] = []
@@ -303,12 +344,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(*at, "number") for at in _numbers(text)]
     if _ANY_TITLE.search(text):
         words = set()
-        for m in _NAME.finditer(text):
-            for g in ("first", "last"):
-                if m[g] and m[g][0].isupper() and (g == "last" or m[g] in _GIVEN_AT or not (m["last"] or "")[:1].isupper()):
-                    spans.append((*m.span(g), "name"))
-                    words.add(m[g])
-        for w in sorted(words):  # later and earlier mentions of the same person
+        for m in _TITLED.finditer(text):
+            for b, e in _name_words(text, m.end()):
+                spans.append((b, e, "name"))
+                if e - b > 1:  # a lone letter is replaced in this place only
+                    words.add(text[b:e])
+        for w in sorted(words, key=lambda w: (-len(w), w)):  # later and earlier mentions of the same person
             spans += [(*m.span(), "name") for m in re.finditer(rf"\b{re.escape(w)}\b", text)]
     if len(spans) < 2:
         return spans
