@@ -13,13 +13,30 @@ import tidemark as tm
 from tidemark.functions import distributions, ids
 from tidemark.operators import accuracy, benchmarks, bias, comparison, density, efficiency, filters, intra_period, maturity, revisions, rolling
 from tidemark.plans import plot_data
-from tidemark.sources import schema
+from tidemark.sources import panels, schema
 from tidemark.streaming import ingest
 
 MAIN = "date date, variable string, vintage_date_forecast date, vintage_date_outturn date, unique_id string, metric string, frequency string, forecast_horizon int, target_minus_vintage int, value_forecast double, value_outturn double, k int, latest_vintage date, forecast_error double"
 QUARTERS = [d.date() for d in pd.date_range("2000-03-31", periods=60, freq="QE")]
 
 
+@pytest.mark.parametrize("last,end", [("2003-05-15", "2003-03-31"), ("2003-06-30", "2003-06-30")])
+def test_panels_end_with_the_last_complete_quarter(spark, tmp_path, last, end):
+    days = pd.date_range("1999-01-01", last, freq="D")
+    rows = [(i, d.to_pydatetime(), 10.0, "1-URGENT", "F") for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    for panel in (panels.quarterly_outturns, panels.monthly_outturns):
+        assert str(panel(spark, str(tmp_path)).agg(F.max("date")).first()[0]) == end
+
+
+def test_autoregression_query_has_early_vintages(spark):
+    from tidemark.queries import ar_p, raw_forecasts
+
+    sf = "/root/testdata/sf0.001"
+    wanted = raw_forecasts(spark, sf).agg(F.min("vintage_date"), F.count_distinct("vintage_date")).first()
+    assert str(wanted[0]) < "1998" and tuple(ar_p(spark, sf).agg(F.min("vintage_date"), F.count_distinct("vintage_date")).first()) == tuple(wanted)
+
+
 def main_rows(series, horizon=0, lag=0):
     """One row per (id, quarter): forecast x against outturn y."""
     out = []

@@ -508,8 +508,7 @@ def ar_p(spark, sf_dir):
     """Maximum likelihood by vintage: no SQL form."""
     o = panels.quarterly_outturns(spark, sf_dir)
     first = schema.with_distance(o.where(calendar.maturity("date", "vintage_date", "Q") == 0)).withColumns({"metric": F.lit("levels"), "vintage_date": F.lit(None).cast("date"), "value": F.log("value")})
-    wanted = raw_forecasts(spark, sf_dir).where("vintage_date >= date'1998-01-01'")
-    return benchmarks.autoregression(first, wanted, periods=5)
+    return benchmarks.autoregression(first, raw_forecasts(spark, sf_dir), periods=5)
 
 
 def _density(spark, sf_dir) -> DataFrame:

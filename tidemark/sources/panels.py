@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 
-UNTIL = "2001-07-01"
-
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate") < F.lit(UNTIL).cast("timestamp"))
-    return o.withColumn("v", F.col("o_totalprice").cast("decimal(18,2)"))
+    """Orders up to the end of the last complete quarter of the data."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    end = o.agg(F.trunc(F.date_add(F.max("o_orderdate").cast("date"), 1), "quarter").cast("timestamp").alias("_end"))
+    return o.join(F.broadcast(end), F.col("o_orderdate") < F.col("_end")).drop("_end").withColumn("v", F.col("o_totalprice").cast("decimal(18,2)"))
 
 
 def _releases(o: DataFrame, keys: list[str], base: int, n: int) -> DataFrame:
