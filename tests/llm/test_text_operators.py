@@ -130,6 +130,13 @@ def test_mixture_of_two_languages(docs):
     assert {top[0][0], top[1][0]} == {a, b} and top[1][1] > 0.2
 
 
+def test_all_languages_and_whole_words_are_learned(spark):
+    tail = "\u03b1\u03b2\u03b3"
+    rows = [(i, "common words", f"l{i:03}") for i in range(505)] + [(900 + i, "x" * 70 + tail, "l600") for i in range(2)]
+    languages, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Fit(min_count=1))
+    assert len(languages) == 506 and tail in dict(table)
+
+
 def test_language_edges(odd, none):
     model = langid.train(odd)
     out = {(r["doc_id"], r["text"]): r for r in langid.predict(odd, model).collect()}

@@ -37,6 +37,27 @@ def test_autoregression_query_has_early_vintages(spark):
     assert str(wanted[0]) < "1998" and tuple(ar_p(spark, sf).agg(F.min("vintage_date"), F.count_distinct("vintage_date")).first()) == tuple(wanted)
 
 
+def test_data_checks_see_every_group(spark):
+    from tidemark.plans.container import SHOWN, data_checks
+
+    quarters = [("2000-03-31", "1999-12-31"), ("2000-06-30", "2000-03-31"), ("2000-09-30", "2000-06-30")]
+    new, out = [], []
+    for g in range(250):
+        for i, (v, d) in enumerate(quarters):
+            out.append((d, v, f"v{g:03}", "levels", "Q", float(i)))
+            new.append((d, v, f"v{g:03}", "levels", "Q", float(100 * i), "far", -1, -1))  # far, and 100 times the spread
+            new.append((d, v, f"v{g:03}", "levels", "Q", float(i) + (50.0 if g == 249 else 0.0), "near", -1, -1))
+            new.append((d, v, f"v{g:03}", "levels", "Q", float(100 * i), "late", 5, 3))
+    key = "date string, vintage_date string, variable string, metric string, frequency string, value double"
+    typed = lambda rows, more="": spark.createDataFrame(rows, key + more).withColumns({c: F.col(c).cast("date") for c in ("date", "vintage_date")})
+    told = data_checks(typed(new, ", source string, forecast_horizon int, target_minus_vintage int"), typed(out))
+    far, scale = [t for t in told if "far from" in t], [t for t in told if "in scale" in t]
+    assert len(far) == SHOWN + 1 and far[-1].startswith("251 in all") and len(scale) == SHOWN + 1 and scale[-1].startswith("250 in all")
+    assert all(t.startswith("late") for t in scale[:-1])
+    one = data_checks(*[d.where("variable = 'v249'") for d in (typed(new, ", source string, forecast_horizon int, target_minus_vintage int"), typed(out))])
+    assert len(one) == 3
+
+
 def main_rows(series, horizon=0, lag=0):
     """One row per (id, quarter): forecast x against outturn y."""
     out = []

@@ -34,7 +34,6 @@ from .common import claim
 @dataclass(frozen=True)
 class Fit:
     max_rows: int = 2_000
-    max_languages: int = 500
     order: int = 4
     min_count: int = 2
     penalty: float = 4.0
@@ -171,11 +170,8 @@ class Model:
 def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[tuple[str, list[float]]]]:
     """Languages and conditional n-gram probabilities from rows with a language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1_000_003)).alias("turn"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.max_languages).collect()
-    if not sizes:
-        return [], []
-    rate = F.create_map([x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, fit.max_rows / r["count"]) * 1_000_003)))])
-    sample = rows.where(F.col("turn") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0)))
+    sizes = rows.groupBy("lang").agg(F.floor(F.least(F.lit(1.0), F.lit(fit.max_rows) / F.count("*")) * 1_000_003).alias("rate"))
+    sample = rows.join(F.broadcast(sizes), "lang").where("turn < rate")
     order = fit.order
 
     def count(batches):
@@ -184,7 +180,7 @@ def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str =
             for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 tally = found.setdefault(g, Counter())
                 for w, c in Counter(_LETTERS.findall(t.lower())).items():
-                    for x in _grams(w[:64], order):
+                    for x in _grams(w, order):
                         tally[x] += c
         for g, tally in found.items():
             keys = list(tally)
@@ -192,7 +188,7 @@ def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str =
                 part = keys[i : i + 100_000]
                 yield pa.RecordBatch.from_pydict({"lang": [g] * len(part), "gram": part, "n": [tally[k] for k in part]}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-    # The sample is bounded, and so is the table of its n-grams.
+    # The sample of each language is bounded, and so are its n-grams.
     grams = sample.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= fit.min_count).toArrow()
     languages = sorted(set(grams.column("lang").to_pylist()))
     at = {g: i for i, g in enumerate(languages)}

@@ -17,6 +17,8 @@ from ..sources import report, schema
 FORECAST_COLUMNS = ["date", "vintage_date", "variable", "source", "frequency", "forecast_horizon", "value"]
 OUTTURN_COLUMNS = ["date", "vintage_date", "variable", "frequency", "value"]
 DUPLICATE_TOLERANCE = 1e-3
+#: Messages of one data check; all groups are checked and counted.
+SHOWN = 200
 
 
 class ForecastData:
@@ -285,18 +287,28 @@ def data_checks(new: DataFrame, outturns: DataFrame) -> list[str]:
     keys = ["date", "variable", "metric", "frequency"]
     out = []
     published = new.where("forecast_horizon = 0").select(*keys, "source", "vintage_date").join(outturns.select(*keys, F.col("vintage_date").alias("_v")), keys).where("_v <= vintage_date")
-    rows = published.groupBy("source", "variable", "metric", "frequency").agg(F.count_distinct("date", "vintage_date").alias("n")).limit(20).collect()
-    out += [f"{r['source']}, {r['variable']} ({r['metric']}): {r['n']} forecasts at horizon 0 of targets already published" for r in rows]
+    late = published.groupBy("source", "variable", "metric", "frequency").agg(F.count_distinct("date", "vintage_date").alias("n"))
+    out += _told(late, lambda r: f"{r['n']} forecasts at horizon 0 of targets already published")
+    group = ["source", "variable", "metric"]
     pairs = new.join(outturns.select(*keys, "vintage_date", F.col("value").alias("_o")), [*keys, "vintage_date"])
-    near = pairs.where("target_minus_vintage = -1").groupBy("source", "variable", "metric").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("_o"))).alias("gap"), F.stddev_samp("_o").alias("sd")).limit(200).collect()
-    out += [f"{r['source']}, {r['variable']} ({r['metric']}): values at distance -1 are far from outturns" for r in near if r["n"] >= 2 and r["sd"] is not None and r["gap"] > 0.5 * r["sd"]]
-    done = {(r["source"], r["variable"], r["metric"]) for r in near}
+    near = pairs.where("target_minus_vintage = -1").groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("_o"))).alias("gap"), F.stddev_samp("_o").alias("sd"))
+    out += _told(near.where("n >= 2 and gap > 0.5 * sd and not isnan(gap)"), lambda r: "values at distance -1 are far from outturns")
+    done = near.select([F.col(c).alias(f"_{c}") for c in group])
     iqr = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     both = new.join(outturns.groupBy(*keys).agg(F.max_by("value", "vintage_date").alias("_o")), keys)
-    for r in both.groupBy("source", "variable", "metric").agg(F.count("*").alias("n"), iqr("value").alias("f"), iqr("_o").alias("o")).limit(200).collect():
-        a, b = r["f"][1] - r["f"][0], r["o"][1] - r["o"][0]
-        if (r["source"], r["variable"], r["metric"]) not in done and r["n"] >= 3 and a > 0 and b > 0 and max(a / b, b / a) > 5:
-            out.append(f"{r['source']}, {r['variable']} ({r['metric']}): forecasts and outturns differ in scale")
+    spreads = both.groupBy(*group).agg(F.count("*").alias("n"), iqr("value").alias("f"), iqr("_o").alias("o")).withColumns({"a": F.expr("f[1] - f[0]"), "b": F.expr("o[1] - o[0]")})
+    apart = spreads.where("n >= 3 and a > 0 and b > 0 and not isnan(a) and not isnan(b) and greatest(a / b, b / a) > 5")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    out += _told(apart.join(done, same[0] & same[1] & same[2], "left_anti"), lambda r: "forecasts and outturns differ in scale")
+    return out
+
+
+def _told(found: DataFrame, says: Callable) -> list[str]:
+    """A message for each of the first groups, and how many there are if they are more."""
+    rows = found.orderBy("source", "variable", "metric").limit(SHOWN + 1).collect()
+    out = [f"{r['source']}, {r['variable']} ({r['metric']}): {says(r)}" for r in rows[:SHOWN]]
+    if len(rows) > SHOWN:
+        out.append(f"{found.count()} in all, {SHOWN} shown, like: {says(rows[0])}")
     return out
 
 
