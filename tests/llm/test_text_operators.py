@@ -65,6 +65,24 @@ def test_token_files_of_nothing(none, vocabulary):
     assert tokenfiles.write_and_read(none, vocabulary).count() == 0
 
 
+def test_token_files_keep_any_id_and_only_committed_files(spark, vocabulary, monkeypatch, tmp_path):
+    least = -(1 << 63)
+    rows = [(least, "a b"), (None, "c"), (None, None), ((1 << 63) - 1, "d " * 50), (0, "<|endoftext|> x"), (7, "\u0130stanbul \xa0 \u00c9t\u00c9\u0301 \u0130 a\x1cb"), (8, "<|ENDOFTEXT|> [unk] \u4e2d \u0414\u0430")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Tokenizer.from_file(vocabulary)
+    folder = f"file://{tmp_path}/files"
+    enc = tokenfiles.encoder(vocabulary, 2)
+    encoded = tokenfiles.encode(df, vocabulary, 2).select("doc_id", "ids").cache()
+    files = tokenfiles.write(spark, encoded, folder, enc.kind.str, enc.tok.get_vocab_size())
+    tokenfiles.write(spark, encoded, folder, enc.kind.str, enc.tok.get_vocab_size())  # as another attempt would
+    got = tokenfiles.read(spark, folder, files).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and len({r["start"] for r in got}) == len(rows)
+    of = {r["doc_id"]: r["ids_crc32"] for r in got}
+    for d, t in rows:
+        if d is not None:
+            assert of[d] == zlib.crc32(np.array([*want.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+
+
 def test_variable_length_coding():
     ranks = np.array([0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1, 5, 7], np.uint32)
     control, data = tokenfiles.pack(ranks)

@@ -7,15 +7,17 @@ gathers the data bytes by numpy; no id is decoded on its own.
 
 A file holds documents of ascending id: a header, their ids and lengths, control
 bytes, data bytes. Files follow each other in the order (part, number). A task
-writes under a name of its own attempt and renames at the end, so retries and lost
-executors leave whole files only. The folder is one that all executors share.
+names its files by its own attempt, and the table of files that Spark commits says
+which of them hold, so retries and lost executors need no rename and leave no half
+result. The folder is one that all executors share.
 
 Texts are encoded by the tokenizers library's model; equal words are encoded once
 for each worker's cache.
 
 Edge cases: a null text is an empty one and holds only the end id; null document
-ids come first; documents of equal id keep an order by content; extra columns are
-ignored; an empty table writes no file and reads back as no rows.
+ids come first and any 64-bit id is kept; documents of equal id keep an order by
+content, equal rows are documents each; a very long text is encoded whole; extra
+columns are ignored; an empty table writes no file and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -38,17 +41,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BEYOND_LATIN, byte_chars, split_chunk, word_pattern
-from .common import Cache, claim, materialize, new_path, owns
+from .common import claim, materialize, new_path, owns
 
-MAGIC = b"FVB1"
-HEAD = struct.Struct("<4sIIQQQQ")  # magic, part, number, documents, ids, control bytes, data bytes
+MAGIC = b"FVB2"
+#: Magic, part, number, attempt, documents, those of them without an id (they come first), ids, control bytes, data bytes.
+HEAD = struct.Struct("<4sIIQQQQQQ")
 #: Ids of one file, about.
 FILE_IDS = 16_000_000
-NULL_ID = -(1 << 63)
 #: Entries of the caches of chunks between blanks and of words.
-CHUNKS, WORDS = 250_000, 1_000_000
+CHUNKS, WORDS = 600_000, 800_000
 CACHE_CHARS = 48
+#: Text that is split at once.
+GROUP_BYTES = 8_000_000
 _ODD_BLANKS = regex.compile("[\x1c-\x1f\x85]")
+#: Beyond Latin, or what blanks and letter case make ambiguous.
+_ODD = regex.compile("[^\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u024f]")
 
 # Lengths of the four ids of each control byte.
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
@@ -83,6 +90,9 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 # -- encoding by the library --------------------------------------------------
 class Encoder:
+    """Texts of a batch are split at blanks together, each distinct chunk is looked up
+    once, the library's model gets new words only, and Arrow gathers the ids."""
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -101,8 +111,8 @@ class Encoder:
             self.plain = False
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.chunks = Cache(self._chunk, CHUNKS, CACHE_CHARS)
-        self.words = Cache(self._word, WORDS, CACHE_CHARS)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
@@ -111,8 +121,21 @@ class Encoder:
         return [self._bytes(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        chars = self.chars
-        return self._bytes([t.id for t in self.model.tokenize("".join([chars[b] for b in word.encode()]))])
+        if not (word.isascii() and word.isprintable()):  # others stand for themselves
+            chars = self.chars
+            word = "".join([chars[b] for b in word.encode()])
+        return self._bytes([t.id for t in self.model.tokenize(word)])
+
+    def _known(self, word: str) -> bytes:
+        known = self.words
+        found = known.get(word)
+        if found is None:
+            found = self._word(word)
+            if len(word) <= CACHE_CHARS:
+                if len(known) >= WORDS:
+                    known.clear()
+                known[word] = found
+        return found
 
     def _chunk(self, chunk: str) -> bytes:
         """What stands between blanks. Within Latin letters, Unicode versions agree
@@ -123,24 +146,65 @@ class Encoder:
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = chunk.lower()
         if chunk.isalpha():
-            return self.words[chunk]
-        return b"".join([self.words[w] for w in split_chunk(chunk, self.pattern)])
-
-    def _text(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
+            return self._known(chunk)
+        return b"".join([self._known(w) for w in split_chunk(chunk, self.pattern)])
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, from the cache where they are known."""
+        known = self.chunks
+        found = list(map(known.get, chunks))
+        at = [i for i, x in enumerate(found) if x is None]
+        if at:
+            if len(known) + len(at) > CHUNKS:
+                known.clear()
+            new = [chunks[i] for i in at]
+            for i, c, x in zip(at, new, map(self._chunk, new), strict=True):
+                found[i] = x
+                if len(c) <= CACHE_CHARS:
+                    known[c] = x
+        return found
+
+    def _simple(self, text: str) -> bool:
+        """Whether blanks part the text into chunks that are encoded alone."""
+        if text.isascii():
+            odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        else:
+            odd = _ODD.search(text)
+        return not odd and not (self.special and self.special.search(text))
+
+    def _odd_text(self, text: str) -> bytes:
+        """Other texts; chunks of letters beyond Latin go to the library each."""
         if _ODD_BLANKS.search(text) or self.special and self.special.search(text):
-            return self._library([text])[0] + self.end
-        if text.isascii() or not BEYOND_LATIN.search(text):
-            text = text.lower()
-        cache = self.chunks
-        return b"".join([cache[c] for c in text.split()]) + self.end
+            return self._library([text])[0]
+        own = text.split()
+        return b"".join(map(dict(zip(d := list(dict.fromkeys(own)), self._ids_of(d), strict=True)).__getitem__, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes of ``kind``."""
+        end = self.end
         if not self.plain:  # a vocabulary whose steps aren't known here
-            return [self._library([t])[0] + self.end if t else self.end for t in texts]
-        return [self._text(t) for t in texts]
+            return [self._library([t])[0] + end if t else end for t in texts]
+        out = [end] * len(texts)
+        at, group = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if self._simple(t):
+                at.append(i)
+                group.append(t.lower() if t.isascii() else t.lower().replace("\xa0", " "))
+            else:
+                out[i] = self._odd_text(t) + end
+        if group:
+            lists = pc.ascii_split_whitespace(pa.array(group, pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            pool = pa.array(self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary())
+            taken = pool.take(coded.indices)
+            _, ends, raw = taken.buffers()
+            ends = np.frombuffer(ends, np.int64, len(taken) + 1)[lists.offsets.to_numpy()].tolist()
+            raw = memoryview(raw) if raw else b""
+            for i, x, y in zip(at, ends, ends[1:], strict=False):
+                out[i] = bytes(raw[x:y]) + end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -157,10 +221,13 @@ def encode(df: DataFrame, path: str, end_id: int, text: str = "text", out: str =
     @F.arrow_udf("binary")
     def to_ids(col: pa.Array) -> pa.Array:
         claim("tokenfiles")
-        enc, texts, found = encoder(path, end_id), col.to_pylist(), []
-        for i in range(0, len(texts), 500):
-            found += enc.encode(texts[i : i + 500])
-            texts[i : i + 500] = [None] * len(texts[i : i + 500])  # not held any longer
+        enc, found, at = encoder(path, end_id), [], 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < len(col):  # groups of texts of a bounded size, or one text
+            base = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, base + GROUP_BYTES, side="right")))
+            found += enc.encode(col.slice(at, to - at).to_pylist())
+            at = to
         return pa.array(found, pa.binary())
 
     return df.withColumn(out, to_ids(F.col(text)))
@@ -179,10 +246,7 @@ def rank_table(encoded: DataFrame, kind: str, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(total, np.frombuffer(x, kind), 1)
+            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -195,24 +259,27 @@ def rank_table(encoded: DataFrame, kind: str, size: int) -> np.ndarray:
     return ranks
 
 
+_FILES = "part int, number int, attempt long, n_docs long, n_ids long"
+
+
 def save(folder: str, ranks: np.ndarray, kind: str, part: int, number: int, docs: list, lengths: list, ids: list) -> dict:
-    """Writes one file under a name of this attempt, then gives it its own."""
+    """Writes one file under a name of this attempt; ``docs`` without an id come first."""
     control, data = pack(ranks[np.frombuffer(b"".join(ids), kind)])
-    n = sum(lengths)
+    n, nulls, attempt = sum(lengths), docs.count(None), TaskContext.get().taskAttemptId()
     place, path = _place(folder)
-    name = f"{path}/{part:08d}-{number:06d}"
-    own = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-    with place.open_output_stream(own) as f:
-        f.write(HEAD.pack(MAGIC, part, number, len(docs), n, len(control), len(data)))
-        f.write(np.array(docs, "<i8").tobytes() + np.array(lengths, "<u4").tobytes())
+    with place.open_output_stream(f"{path}/{part:08d}-{number:06d}-{attempt}.fvb") as f:
+        f.write(HEAD.pack(MAGIC, part, number, attempt, len(docs), nulls, n, len(control), len(data)))
+        f.write(np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(lengths, "<u4").tobytes())
         f.write(control)
         f.write(data)
-    place.move(own, f"{name}.fvb")
-    return {"part": part, "number": number, "n_docs": len(docs), "n_ids": n}
+    return {"part": part, "number": number, "attempt": attempt, "n_docs": len(docs), "n_ids": n}
 
 
 def write(spark: SparkSession, encoded: DataFrame, folder: str, kind: str, size: int) -> DataFrame:
-    """Writes ``doc_id, ids`` in ascending order; returns a row for each file."""
+    """Writes ``doc_id, ids`` in ascending order; returns a row for each file that counts.
+
+    A retried task leaves files of its earlier attempt; only those in these rows hold.
+    """
     ranks = spark.sparkContext.broadcast(rank_table(encoded, kind, size))
     place, path = _place(folder)
     place.create_dir(path)
@@ -224,7 +291,7 @@ def write(spark: SparkSession, encoded: DataFrame, folder: str, kind: str, size:
         width = np.dtype(kind).itemsize
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                docs.append(NULL_ID if d is None else d)
+                docs.append(d)
                 lengths.append(len(x) // width)
                 ids.append(x)
                 held += lengths[-1]
@@ -233,53 +300,51 @@ def write(spark: SparkSession, encoded: DataFrame, folder: str, kind: str, size:
                     number, docs, lengths, ids, held = number + 1, [], [], [], 0
         if docs:
             done.append(save(folder, ranks.value, kind, part, number, docs, lengths, ids))
-        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("attempt", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     ordered = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("turn")).repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn")
-    return materialize(ordered.select("doc_id", "ids").mapInArrow(run, "part int, number int, n_docs long, n_ids long"), "token-files")
+    return materialize(ordered.select("doc_id", "ids").mapInArrow(run, _FILES), "token-files")
 
 
-def read_file(raw: bytes, ids_by_rank: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Part, number, document ids, lengths and all ids of one file."""
-    magic, part, number, n_docs, n_ids, n_control, n_data = HEAD.unpack_from(raw)
+def read_file(raw: bytes, ids_by_rank: np.ndarray) -> tuple[tuple[int, int, int], np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """Part, number and attempt, document ids (masked: null), lengths and all ids of one file."""
+    magic, part, number, attempt, n_docs, n_null, n_ids, n_control, n_data = HEAD.unpack_from(raw)
     if magic != MAGIC or len(raw) != HEAD.size + 12 * n_docs + n_control + n_data:
         raise ValueError("not a whole token file")
     at = HEAD.size
-    docs = np.frombuffer(raw, "<i8", n_docs, at)
+    docs = np.ma.array(np.frombuffer(raw, "<i8", n_docs, at), mask=np.arange(n_docs) < n_null)
     lengths = np.frombuffer(raw, "<u4", n_docs, at + 8 * n_docs)
     at += 12 * n_docs
     ranks = unpack(raw[at : at + n_control], raw[at + n_control :], n_ids)
-    return part, number, docs, lengths, ids_by_rank[ranks]
+    return (part, number, attempt), docs, lengths, ids_by_rank[ranks]
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files that count."""
     place, path = _place(folder)
     with place.open_input_stream(f"{path}/ranks.u4") as f:
         ranks = np.frombuffer(f.read(), "<u4")
     by_rank = np.empty(len(ranks), "<u4")
     by_rank[ranks] = np.arange(len(ranks), dtype="<u4")
     shared = spark.sparkContext.broadcast(by_rank)
-    kind = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    kind = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("attempt", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         for b in batches:
             for raw in b.column("content"):
-                part, number, docs, lengths, ids = read_file(raw.as_py(), shared.value)
+                own, docs, lengths, ids = read_file(raw.as_py(), shared.value)
                 ends = np.cumsum(lengths.astype(np.int64))
-                begins = ends - lengths
-                crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array([None if d == NULL_ID else d for d in docs.tolist()], pa.int64()), pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
-                    schema=kind,
-                )
+                begins, n, view = ends - lengths, len(docs), memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+                same = [pa.array(np.full(n, x, t)) for x, t in zip(own, (np.int32, np.int32, np.int64), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(docs.data, mask=docs.mask), pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], schema=kind)
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.fvb").schema("path string, modificationTime timestamp, length long, content binary")
-    rows = content.load(folder).select("content").mapInArrow(run, "part int, number int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = content.load(folder).select("content").mapInArrow(run, "part int, number int, attempt long, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    bases = files.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    bases = files.select("part", "number", "attempt", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return rows.join(bases, ["part", "number", "attempt"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(df: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
