@@ -1,5 +1,6 @@
 """Near duplicates, search, shards, mixes and the pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,40 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def brute_top(rows, k, scale=64):
+    """Rows of one id are one query; scores end at 64 bits."""
+    fine = [(i, [int(math.floor(scale * x)) if abs(x) < 2**40 else scale * int(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    found = defaultdict(list)
+    for q, x in fine:
+        if q % 20 == 0:
+            for i, y in fine:
+                if i != q:
+                    found[q].append((i, max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y))))))
+    return Counter((q, r, i, s) for q, all_ in found.items() for r, (i, s) in enumerate(sorted(all_, key=lambda t: (-t[1], t[0]))[:k], 1))
+
+
+@pytest.mark.parametrize("slab", [40, 32_000_000])
+def test_top_k_edges(spark, slab):
+    """Huge and tiny components, empty and shorter vectors, repeated ids and rows, clashing names, several slabs."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) * 10.0 ** rng.choice([-3, 0, 0, 0, 3]) for _ in range(5)]) for i in range(120)]
+    rows += [(200, [1e9, 5e7, 0.0, 0.0, 1.0]), (201, [-1e9, 33_554_432.0, 0.0, 0.0, 0.0]), (220, []), (221, []), (222, [1.0]), (240, [1e300, 0.0, 0.0, 0.0, 0.0]), (241, [-1.7e308, 1e-300, 0.0, 0.0, 0.0]), (260, [2.0**53 + 2, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(20, [0.5] * 5), (20, [0.25, 1.0, 0.0, 0.0, 3.0]), (33, [0.5] * 5), (33, [0.5] * 5), (None, [1.0] * 5), (300, None)]
+    df = spark.createDataFrame([(*r, 1, 2.0, "x", 3) for r in rows], "vec_id long, embedding array<double>, v int, dist double, band string, pivot int")
+    got = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7, topk.Index(pivots=6, segment=16, slab=slab * 40)).collect())
+    assert got == brute_top(rows, 7)
+
+
+def test_top_k_prunes_clusters(spark):
+    rng = np.random.default_rng(8)
+    mid = rng.normal(0, 1, (40, 16))
+    v = np.concatenate([m / np.linalg.norm(m) * 4 + rng.normal(0, 0.02, (50, 16)) for m in mid])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    counted = spark.sparkContext.accumulator(0)
+    got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 10, topk.Index(segment=64), counted=counted).collect())
+    assert got == brute_top(rows, 10) and counted.value < 0.2 * len(rows) * 100
+
+
 # -- shards -----------------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_shards(request, which):
