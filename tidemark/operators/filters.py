@@ -42,10 +42,10 @@ def filter_sources(df: DataFrame, sources: list[str], extra: Column | None = Non
     named = df.select("unique_id").distinct()
     places = named.select("unique_id", F.posexplode(ids.parts()).alias("_pos", "_part"))
     hit = places.where(wanted).select("_pos").distinct()
-    bad_parts = places.join(F.broadcast(hit), "_pos", "left_semi").where(~wanted).select("_part").distinct()
+    bad_parts = places.join(hit, "_pos", "left_semi").where(~wanted).select("_part").distinct()
     bad = places.join(bad_parts, "_part", "left_semi").select("unique_id").distinct()
     any_hit = hit.select(F.lit(1).alias("_one")).limit(1)
-    good = named.join(bad, "unique_id", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(any_hit), "_one", "left_semi").select("unique_id")
+    good = named.join(bad, "unique_id", "left_anti").withColumn("_one", F.lit(1)).join(any_hit, "_one", "left_semi").select("unique_id")
     if extra is not None:
         good = good.unionByName(named.where(extra)).distinct()
     return df.join(good, "unique_id", "left_semi").select(*df.columns)

@@ -47,18 +47,17 @@ def main_table(forecasts: DataFrame, outturns: DataFrame, id_columns: list[str],
 def filter_k(df: DataFrame, k: int = 12, fill: bool = True, extra: list[str] | None = None) -> DataFrame:
     """One maturity of each series: the largest k up to the one asked, else the smallest above.
 
-    Without release dates (``latest_vintage`` all null) nothing is filtered. That
-    test is a window over the series, so no separate job decides it: a series whose
-    releases carry no date keeps all its rows.
+    A series without release dates (``latest_vintage`` is null, a value of the whole
+    series) keeps all its rows, with or without ``fill``; no separate job decides it.
     """
+    undated = F.col("latest_vintage").isNull()
     if not fill:
-        return df.where(F.col("k") == k)
+        return df.where(undated | (F.col("k") == k))
     keys = [c for c in ("date", "variable", "frequency", "metric", "unique_id", "source") if c in df.columns] + (extra or [])
     w = Window.partitionBy(*keys)
     lo = F.max(F.when(F.col("k") <= k, F.col("k"))).over(w)
     hi = F.min(F.when(F.col("k") > k, F.col("k"))).over(w)
-    dated = F.max("latest_vintage").over(w)
-    return df.withColumns({"_lo": lo, "_hi": hi, "_dated": dated}).where(F.col("_dated").isNull() | (F.col("k") == F.coalesce("_lo", "_hi"))).drop("_lo", "_hi", "_dated")
+    return df.withColumns({"_lo": lo, "_hi": hi}).where(undated | (F.col("k") == F.coalesce("_lo", "_hi"))).drop("_lo", "_hi")
 
 
 def common_sample(df: DataFrame, extra: list[str] | None = None) -> DataFrame:

@@ -51,13 +51,13 @@ def windows(main: DataFrame, size: int, start=None, end=None) -> DataFrame:
     v = vintages(main, start, end)
     last = v.groupBy().agg(F.max("i").alias("m"))
     ends = v.select(F.col("v").alias("window_end"), (F.col("i") - (size - 1)).alias("i"))
-    return v.join(ends, "i").join(F.broadcast(last), F.col("i") + size <= F.col("m")).select(F.col("v").alias("window_start"), "window_end")
+    return v.join(ends, "i").join(last, F.col("i") + size <= F.col("m")).select(F.col("v").alias("window_start"), "window_end")
 
 
 def in_windows(main: DataFrame, table: DataFrame) -> DataFrame:
     """Each row once for every window that holds its vintage (``size`` at most)."""
     held = main.select("vintage_date_forecast").distinct()
-    held = held.join(F.broadcast(table), (F.col("vintage_date_forecast") >= F.col("window_start")) & (F.col("vintage_date_forecast") <= F.col("window_end")))
+    held = held.join(table, (F.col("vintage_date_forecast") >= F.col("window_start")) & (F.col("vintage_date_forecast") <= F.col("window_end")))
     return main.join(held, "vintage_date_forecast")
 
 
@@ -71,16 +71,15 @@ def rolling(main: DataFrame, size: int, analysis, start=None, end=None, **args)
     return analysis(in_windows(main, table), extra=WINDOW, **args)
 
 
-def fluctuation(rolled: DataFrame, statistic: str, size: int) -> DataFrame:
-    """Absolute statistics against the critical values, and their largest of each series.
-
-    One action counts the windows, which the critical value depends on.
-    """
-    n = rolled.select("window_start").distinct().count()
+def fluctuation(rolled: DataFrame, statistic: str, size: int, table: DataFrame) -> tuple[DataFrame, float]:
+    """Absolute statistics against the critical values, their largest of each series,
+    and mu. The number of windows is read from the ``table`` of windows, a small action
+    over vintages; the analysis runs once."""
+    n = table.count()
     if not n:
         raise ValueError("window too large for the vintages")
     mu = size / (n + size - 1)
-    return flagged(rolled, statistic, critical_value(mu, 0.05), critical_value(mu, 0.10))
+    return flagged(rolled, statistic, critical_value(mu, 0.05), critical_value(mu, 0.10)), mu
 
 
 def flagged(rolled: DataFrame, statistic: str, at_5: float, at_10: float) -> DataFrame:

@@ -15,24 +15,27 @@ def snapshots(outturns: DataFrame, forecasts: DataFrame) -> DataFrame:
     been released by then: of each target date the latest release.
 
     Targets that the forecasts of that vintage cover are left out, and history goes
-    back only as far as growth rates need. The as-of step joins on the variable with
-    a range of dates bounded on both sides, and keeps the latest release by an
-    aggregate, so no release list is ever sorted.
+    back only as far as growth rates need. A vintage is expanded to the few target
+    dates between that and the farthest ahead that any release was, so the as-of step
+    is an equi-join on series and date, dealt by both, and an aggregate keeps the
+    latest release; no release list is ever sorted.
     """
     o = outturns.where(~F.col("_aligned")).drop("_aligned") if "_aligned" in outturns.columns else outturns
     f = forecasts.select("variable", "date", "vintage_date", "frequency")
-    reach = f.groupBy("variable").agg(F.min(calendar.periods_between("date", "vintage_date", F.col("frequency"))).alias("_reach"))
-    all_v = f.select(F.col("vintage_date").alias("v")).distinct()
-    names = o.select("variable", "metric").distinct().join(reach, "variable")
-    have = o.select("variable", "metric", F.col("vintage_date").alias("v")).distinct()
-    # Every forecast vintage serves every series of a forecast variable; both are small.
-    need = names.join(F.broadcast(all_v)).join(have, ["variable", "metric", "v"], "left_anti")
-    year = calendar.periods_a_year(F.col("frequency"))
-    old = calendar.periods_between("date", "v", F.col("frequency")) >= F.col("_reach") - (year + 1)
-    known = need.join(o, ["variable", "metric"]).where((F.col("vintage_date") <= F.col("v")) & old)
-    latest = known.groupBy("variable", "metric", "frequency", "v", "date").agg(F.max(F.struct("vintage_date", "value")).alias("m"))
+    distance = calendar.periods_between("date", "vintage_date", F.col("frequency"))
+    reach = f.groupBy("variable").agg(F.min(distance).alias("_reach"))
+    series = ["variable", "metric", "frequency"]
+    names = o.groupBy(*series).agg(F.max(distance).alias("_ahead")).join(reach, "variable")
+    # Every forecast vintage serves every series of a forecast variable: a row for both.
+    vintages = f.agg(F.collect_set("vintage_date").alias("vs"))
+    have = o.select(*series, F.col("vintage_date").alias("v")).distinct()
+    need = names.join(vintages).withColumn("v", F.explode("vs")).drop("vs").join(have, [*series, "v"], "left_anti")
+    back = F.col("_reach") - (calendar.periods_a_year(F.col("frequency")) + 1)
+    need = need.where(back <= F.col("_ahead")).withColumn("_i", F.explode(F.sequence(back.cast("int"), F.col("_ahead").cast("int"))))
+    need = need.select(*series, "v", calendar.add_periods("v", F.col("_i"), F.col("frequency")).alias("date"))
     targets = f.select("variable", F.col("vintage_date").alias("v"), "date").distinct()
-    latest = latest.join(targets, ["variable", "v", "date"], "left_anti")
+    known = need.join(targets, ["variable", "v", "date"], "left_anti").join(o, [*series, "date"]).where(F.col("vintage_date") <= F.col("v"))
+    latest = known.groupBy(*series, "v", "date").agg(F.max(F.struct("vintage_date", "value")).alias("m"))
     out = latest.select("date", F.col("v").alias("vintage_date"), "variable", "frequency", "metric", F.col("m.value").alias("value"))
     return out.withColumn("target_minus_vintage", calendar.periods_between("date", "vintage_date", F.col("frequency"))).withColumn("_aligned", F.lit(True))
 
@@ -48,7 +51,7 @@ def pseudo_vintages(outturns: DataFrame, fill_to, vintage_frequency: str = "Q",
     if o.where("vintage_date is not null").isEmpty():  # all undated: known at the last date
         o = o.withColumn("vintage_date", F.lit(o.agg(F.max("date")).first()[0]))
     first = o.groupBy("variable").agg(F.min("vintage_date").alias("first"))  # a row per variable
-    rows = o.join(F.broadcast(first), "variable").where(F.col("vintage_date") == F.col("first"))
+    rows = o.join(first, "variable").where(F.col("vintage_date") == F.col("first"))
     lag = F.min(calendar.periods_between("first", "date", vintage_frequency)).over(Window.partitionBy("variable"))
     if lags:
         given = F.create_map(*[x for k, v in lags.items() for x in (F.lit(k), F.lit(int(v)))])

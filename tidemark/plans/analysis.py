@@ -181,12 +181,8 @@ def fluctuation_tests(data, window_size: int, test_func, test_args: dict | None
     if WINDOWED.get(name, (None, None))[1] is None:
         raise ValueError("fluctuation tests know bias, weak efficiency and predictive accuracy tests")
     rolled = rolling_analysis(data, window_size, test_func, test_args, start_vintage, end_vintage).to_df()
-    # The number of windows follows from the vintages; one small action.
-    n = rolling.windows(_main(data), window_size, strict_date(start_vintage), strict_date(end_vintage)).count()
-    if not n:
-        raise ValueError("window too large for the vintages")
-    mu = window_size / (n + window_size - 1)
-    df = rolling.flagged(rolled, "test_statistic", rolling.critical_value(mu, 0.05), rolling.critical_value(mu, 0.10))
+    table = rolling.windows(_main(data), window_size, strict_date(start_vintage), strict_date(end_vintage))
+    df, mu = rolling.fluctuation(rolled, "test_statistic", window_size, table)
     return _result(data, df, "fluctuation_tests", {"window_size": window_size, "test_func": name, "test_args": test_args or {}, "mu": mu})
 
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 import copy
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -25,6 +26,9 @@ class ForecastData:
     """Forecasts and outturns, their growth rates and the table that pairs them.
 
     ``filter`` narrows the derived tables; raw ones stay, and ``clear_filter`` is free.
+    Checked input is persisted (memory, then disk), so checks and analyses don't compute
+    it again; ``keep=False`` leaves that out for inputs that are cheap to read, and
+    ``release`` gives the storage back.
     """
 
     default_k = 12
@@ -33,7 +37,8 @@ class ForecastData:
     forecast_required_columns = FORECAST_COLUMNS
     outturn_required_columns = OUTTURN_COLUMNS
 
-    def __init__(self, outturns_data: DataFrame | None = None, forecasts_data: DataFrame | None = None, *, load_report: bool = False, extra_ids: list[str] | None = None, metric: str = "levels", compute_levels: bool = True, data_check: bool = True, outturn_vintages: bool = True, first_forecast_horizon=None):
+    def __init__(self, outturns_data: DataFrame | None = None, forecasts_data: DataFrame | None = None, *, load_report: bool = False, extra_ids: list[str] | None = None, metric: str = "levels", compute_levels: bool = True, data_check: bool = True, outturn_vintages: bool = True, first_forecast_horizon=None, keep: bool = True):
+        self._keep, self._kept = keep, []
         self._raw_outturns: DataFrame | None = None
         self._raw_forecasts: DataFrame | None = None
         self._outturns: DataFrame | None = None
@@ -81,7 +86,7 @@ class ForecastData:
         return copy.copy(self)._detached()
 
     def _detached(self):
-        self._views, self._id_columns = dict(self._views), list(self._id_columns)
+        self._views, self._id_columns, self._kept = dict(self._views), list(self._id_columns), []
         return self
 
     def cache(self):
@@ -102,7 +107,7 @@ class ForecastData:
         if not self._outturn_vintages:
             df = df.withColumn("vintage_date", F.lit(None).cast("date"))
         df = self._metric(df, metric)
-        new = schema.with_distance(schema.validate(df, schema.fields(False, ["metric"], nullable_vintage=not self._outturn_vintages)))
+        new, _ = self._checked(df, schema.fields(False, ["metric"], nullable_vintage=not self._outturn_vintages))
         new = self._fresh(new, self._raw_outturns)
         raw = new if self._raw_outturns is None else self._raw_outturns.unionByName(new, allowMissingColumns=True)
         self._rebind(raw, self._raw_forecasts)
@@ -116,10 +121,10 @@ class ForecastData:
         renamed = {c: ids.safe_name(c) for c in extra_ids or []}
         df = self._metric(df.withColumnsRenamed(renamed), metric)
         labels = list(renamed.values())
-        new = schema.with_distance(schema.validate(df, schema.fields(True, ["metric", *labels])))
-        frequency = {r[0] for r in new.select("frequency").distinct().collect()}  # Q and M at most
+        new, frequency = self._checked(df, schema.fields(True, ["metric", *labels]))
+        frequency = set(frequency)
         if self._raw_forecasts is not None:
-            frequency |= {r[0] for r in self._raw_forecasts.select("frequency").distinct().collect()}
+            frequency |= {r[0] for r in self._raw_forecasts.select("frequency").limit(1).collect()}  # it has one only
         if len(frequency) > 1:
             raise ValueError(f"forecasts of one frequency only, not {sorted(frequency)}")
         id_columns = self._id_columns + [c for c in labels if c not in self._id_columns]
@@ -137,28 +142,37 @@ class ForecastData:
         raw = new if old is None else old.withColumn("unique_id", ids.unique_id(id_columns)).unionByName(new, allowMissingColumns=True)
         self._rebind(self._raw_outturns, raw, id_columns, compute_levels)
 
+    def _checked(self, df: DataFrame, fields: list) -> tuple[DataFrame, list[str]]:
+        new, frequencies, kept = schema.checked(df, fields, keep=self._keep)
+        self._kept += [kept] if self._keep else []
+        return schema.with_distance(new), frequencies
+
+    def release(self) -> None:
+        """Gives back the storage of checked input; the container works on."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept = []
+
     def _fresh(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
         """New rows whose key is unknown. Known keys with other values are an error
         when they differ by much, else they are dropped with a warning."""
         if old is None:
             return new
-        keys = [c for c in new.columns if c in old.columns and c not in ("value", "_aligned")]
-        previous = old.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("value").alias("_value"))
-        same = F.lit(True)
-        for c in keys:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        previous, same = known_keys(new, old)
         gap = new.join(previous, same).agg(F.count("*").alias("n"), F.try_divide(F.avg(F.abs(F.col("value") - F.col("_value"))), F.stddev_pop("_value")).alias("g")).first()
         if gap["n"]:
             if gap["g"] is not None and gap["g"] > DUPLICATE_TOLERANCE:
                 raise ValueError(f"{gap['n']} rows contradict rows that are there already")
             warnings.warn(f"{gap['n']} rows are there already and are left out", UserWarning, stacklevel=3)
-        return new.join(previous, same, "left_anti")
+        return fresh_rows(new, old)
 
     def _warn_missing(self, new: DataFrame) -> None:
         keys = ["variable", "frequency"]
-        missing = new.select(*keys).distinct().join(self._raw_outturns.select(*keys).distinct(), keys, "left_anti").limit(20).collect()
-        if missing:
-            warnings.warn("no outturns for " + ", ".join(f"{r[0]} ({r[1]})" for r in missing), UserWarning, stacklevel=3)
+        missing = new.select(*keys).distinct().join(self._raw_outturns.select(*keys).distinct(), keys, "left_anti")
+        shown = missing.orderBy(*keys).limit(SHOWN + 1).collect()
+        if shown:
+            more = f", {missing.count()} in all" if len(shown) > SHOWN else ""
+            warnings.warn("no outturns for " + ", ".join(f"{r[0]} ({r[1]})" for r in shown[:SHOWN]) + more, UserWarning, stacklevel=3)
 
     def _check(self, new: DataFrame) -> None:
         """Warns of forecasts of published targets and of scales that don't match."""
@@ -228,6 +242,7 @@ class ForecastData:
             mine.add_outturns(own.where("not _aligned") if "_aligned" in own.columns else own)
         if other._raw_forecasts is not None:
             mine.add_forecasts(other._raw_forecasts, extra_ids=[c for c in other._id_columns if c != "source"], compute_levels=compute_levels, data_check=False)
+        mine._kept = self._kept + mine._kept
         self.__dict__.update(mine.__dict__)
 
     def create_pseudo_vintages(self, fill_to, vintage_frequency: str = "Q", publication_lags: dict[str, int] | None = None) -> None:
@@ -277,6 +292,44 @@ class ForecastData:
         raise NotImplementedError("no dashboard here: its tabs are the analyses and their plot data")
 
 
+def known_keys(new: DataFrame, old: DataFrame) -> tuple[DataFrame, Column]:
+    """Keys and values of ``old`` under marked names, and when a new row has one of them; null equals null."""
+    keys = [c for c in new.columns if c in old.columns and c not in ("value", "_aligned")]
+    previous = old.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("value").alias("_value"))
+    return previous, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+
+
+def fresh_rows(new: DataFrame, old: DataFrame) -> DataFrame:
+    """New rows whose key ``old`` doesn't have."""
+    previous, same = known_keys(new, old)
+    return new.join(previous, same, "left_anti")
+
+
+TARGET = ["date", "variable", "metric", "frequency"]
+CHECKED = ["source", "variable", "metric"]
+
+
+def published_targets(new: DataFrame, outturns: DataFrame) -> DataFrame:
+    """Check A: how many targets at horizon 0 had been published by the forecast's vintage."""
+    published = new.where("forecast_horizon = 0").select(*TARGET, "source", "vintage_date").join(outturns.select(*TARGET, F.col("vintage_date").alias("_v")), TARGET).where("_v <= vintage_date")
+    return published.groupBy("source", "variable", "metric", "frequency").agg(F.count_distinct("date", "vintage_date").alias("n"))
+
+
+def values_near_outturns(new: DataFrame, outturns: DataFrame) -> DataFrame:
+    """Check B: forecasts at distance -1 beside the outturn of the same vintage."""
+    pairs = new.join(outturns.select(*TARGET, "vintage_date", F.col("value").alias("_o")), [*TARGET, "vintage_date"])
+    near = pairs.where("target_minus_vintage = -1").groupBy(*CHECKED).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("_o"))).alias("gap"), F.stddev_samp("_o").alias("sd"))
+    return near.withColumn("far", F.expr("n >= 2 and gap > 0.5 * sd and not isnan(gap)"))
+
+
+def spreads_beside_outturns(new: DataFrame, outturns: DataFrame) -> DataFrame:
+    """Check C: interquartile ranges of forecasts and of the latest outturns of their targets."""
+    iqr = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
+    both = new.join(outturns.groupBy(*TARGET).agg(F.max_by("value", "vintage_date").alias("_o")), TARGET)
+    spreads = both.groupBy(*CHECKED).agg(F.count("*").alias("n"), iqr("value").alias("f"), iqr("_o").alias("o")).select(*CHECKED, "n", F.expr("f[1] - f[0]").alias("a"), F.expr("o[1] - o[0]").alias("b"))
+    return spreads.withColumn("apart", F.expr("n >= 3 and a > 0 and b > 0 and not isnan(a) and not isnan(b) and greatest(a / b, b / a) > 5"))
+
+
 def data_checks(new: DataFrame, outturns: DataFrame) -> list[str]:
     """Warnings about new forecasts, from one aggregation per check.
 
@@ -284,22 +337,12 @@ def data_checks(new: DataFrame, outturns: DataFrame) -> list[str]:
     distance -1 far from the outturn of the same vintage. C: where there are none of
     those, spreads of forecasts and outturns that differ by more than five times.
     """
-    keys = ["date", "variable", "metric", "frequency"]
-    out = []
-    published = new.where("forecast_horizon = 0").select(*keys, "source", "vintage_date").join(outturns.select(*keys, F.col("vintage_date").alias("_v")), keys).where("_v <= vintage_date")
-    late = published.groupBy("source", "variable", "metric", "frequency").agg(F.count_distinct("date", "vintage_date").alias("n"))
-    out += _told(late, lambda r: f"{r['n']} forecasts at horizon 0 of targets already published")
-    group = ["source", "variable", "metric"]
-    pairs = new.join(outturns.select(*keys, "vintage_date", F.col("value").alias("_o")), [*keys, "vintage_date"])
-    near = pairs.where("target_minus_vintage = -1").groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("_o"))).alias("gap"), F.stddev_samp("_o").alias("sd"))
-    out += _told(near.where("n >= 2 and gap > 0.5 * sd and not isnan(gap)"), lambda r: "values at distance -1 are far from outturns")
-    done = near.select([F.col(c).alias(f"_{c}") for c in group])
-    iqr = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    both = new.join(outturns.groupBy(*keys).agg(F.max_by("value", "vintage_date").alias("_o")), keys)
-    spreads = both.groupBy(*group).agg(F.count("*").alias("n"), iqr("value").alias("f"), iqr("_o").alias("o")).withColumns({"a": F.expr("f[1] - f[0]"), "b": F.expr("o[1] - o[0]")})
-    apart = spreads.where("n >= 3 and a > 0 and b > 0 and not isnan(a) and not isnan(b) and greatest(a / b, b / a) > 5")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
-    out += _told(apart.join(done, same[0] & same[1] & same[2], "left_anti"), lambda r: "forecasts and outturns differ in scale")
+    out = _told(published_targets(new, outturns), lambda r: f"{r['n']} forecasts at horizon 0 of targets already published")
+    near = values_near_outturns(new, outturns)
+    out += _told(near.where("far"), lambda r: "values at distance -1 are far from outturns")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CHECKED])
+    apart = spreads_beside_outturns(new, outturns).where("apart").join(near.select([F.col(c).alias(f"_{c}") for c in CHECKED]), same, "left_anti")
+    out += _told(apart, lambda r: "forecasts and outturns differ in scale")
     return out
 
 
@@ -363,7 +406,7 @@ class DensityForecastData(ForecastData):
         renamed = {c: ids.safe_name(c) for c in extra_ids or []}
         labels = list(renamed.values())
         id_columns = self._id_columns + [c for c in labels if c not in self._id_columns]
-        new = schema.with_distance(schema.validate(df.withColumnsRenamed(renamed), schema.fields(True, ["quantile", *labels])))
+        new, _ = self._checked(df.withColumnsRenamed(renamed), schema.fields(True, ["quantile", *labels]))
         for c in id_columns:
             if c not in new.columns:
                 new = new.withColumn(c, F.lit(None).cast("string"))

@@ -7,6 +7,7 @@ library's operators, the SQL is written independently of them.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,22 +126,36 @@ def validated_outturns(spark, sf_dir):
 def exclude_existing(spark, sf_dir):
     """Anti-join of new rows with those that are there, null-safe over shared keys."""
     f = raw_forecasts(spark, sf_dir)
-    old = f.where("vintage_date < date'1999-01-01'")
-    keys = ["date", "vintage_date", "variable", "source", "metric", "unique_id"]
-    prev = old.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return f.join(prev, same, "left_anti").select("unique_id", "variable", "vintage_date", "date", "value")
+    return container.fresh_rows(f, f.where("vintage_date < date'1999-01-01'")).select("unique_id", "variable", "vintage_date", "date", "value")
 
 
-@query(f"""with{OUTT}{FC}, pub as (select f.unique_id as source, f.variable, f.vp, f.tp from fc f join outt o on f.variable = o.variable and f.tp = o.tp where f.forecast_horizon = 0 and o.vp <= f.vp + 4)
-select source, variable, count(distinct vp * 100000 + tp) as n from pub group by 1, 2""")
+def _late(spark, sf_dir, quarters: int) -> DataFrame:
+    """The forecasts as if made some quarters later."""
+    f = raw_forecasts(spark, sf_dir).withColumn("vintage_date", calendar.add_periods("vintage_date", quarters, "Q"))
+    return schema.with_distance(f)
+
+
+@query(f"""with{OUTT}{FC} select f.unique_id as source, f.variable, 'levels' as metric, 'Q' as frequency, count(distinct f.vp * 100000 + f.tp) as n
+from fc f join outt o on f.variable = o.variable and f.tp = o.tp where f.forecast_horizon = 0 and o.vp <= f.vp + 2 group by 1, 2""")
 def published_targets(spark, sf_dir):
-    """Data check: targets at horizon 0 that were published within a year of the vintage."""
-    f, o = raw_forecasts(spark, sf_dir).where("forecast_horizon = 0"), raw_outturns(spark, sf_dir)
-    late = f.join(o.select("date", "variable", F.col("vintage_date").alias("v")), ["date", "variable"]).where(calendar.periods_between("v", "vintage_date", "Q") <= 4)
-    return late.groupBy("source", "variable").agg(F.count_distinct("vintage_date", "date").alias("n"))
+    """Data check A: targets at horizon 0 of forecasts stamped two quarters late had been published."""
+    return container.published_targets(_late(spark, sf_dir, 2), raw_outturns(spark, sf_dir))
+
+
+@query(f"""with{OUTT}{FC}, p as (select f.unique_id, f.variable, f.fv, o.value from fc f join outt o on o.variable = f.variable and o.tp = f.tp and o.vp = f.vp + 1 where f.tp = f.vp)
+select unique_id as source, variable, 'levels' as metric, count(*) as n, round(avg(abs(fv - value)), 4) as gap, round(stddev_samp(value), 4) as sd, count(*) >= 2 and avg(abs(fv - value)) > 0.5 * stddev_samp(value) as far from p group by 1, 2""")
+def values_near_outturns(spark, sf_dir):
+    """Data check B, of forecasts stamped a quarter late."""
+    return rounded(container.values_near_outturns(_late(spark, sf_dir, 1), raw_outturns(spark, sf_dir)), 4, "gap", "sd")
+
+
+@query(f"""with{OUTT}{FC}, last as (select variable, tp, max_by(value, vp) as o from outt group by 1, 2), p as (select f.unique_id, f.variable, f.fv * case when f.variable = '5-LOW' then 10 else 1 end as fv, l.o from fc f join last l using (variable, tp)),
+s as (select unique_id, variable, count(*) as n, quantile_cont(fv, 0.75) - quantile_cont(fv, 0.25) as a, quantile_cont(o, 0.75) - quantile_cont(o, 0.25) as b from p group by 1, 2)
+select unique_id as source, variable, 'levels' as metric, n, round(a, 4) as a, round(b, 4) as b, n >= 3 and a > 0 and b > 0 and greatest(a / b, b / a) > 5 as apart from s""")
+def spreads_beside_outturns(spark, sf_dir):
+    """Data check C; one variable's forecasts are ten times too large."""
+    f = raw_forecasts(spark, sf_dir).withColumn("value", F.col("value") * F.when(F.col("variable") == "5-LOW", 10).otherwise(1))
+    return rounded(container.spreads_beside_outturns(f, raw_outturns(spark, sf_dir)), 4, "a", "b")
 
 
 # -- growth and levels ---------------------------------------------------------------
@@ -167,6 +182,12 @@ def prepare_forecasts(spark, sf_dir):
     return rounded(out, 6, "value").select("unique_id", "variable", "vintage_date", "date", "metric", "value")
 
 
+@query(f"""with{OUTT}, w as (select variable, tp, vp, value - lag(value) over (partition by variable, vp order by tp) as d from outt)
+select {_day('tp')} as date, {_day('vp')} as vintage_date, variable, 'diff' as metric, round(d, 6) as value from w where d is not null""")
+def differences(spark, sf_dir):
+    return rounded(transforms.transform_series(raw_outturns(spark, sf_dir), "diff"), 6, "value").select("date", "vintage_date", "variable", "metric", "value")
+
+
 def _levels(spark, sf_dir, metric: str, value) -> DataFrame:
     f = raw_forecasts(spark, sf_dir).withColumns({"metric": F.lit(metric), "value": value})
     return rounded(transforms.to_levels(raw_outturns(spark, sf_dir), f), 3, "value").select("unique_id", "variable", "vintage_date", "date", "value")
@@ -219,6 +240,15 @@ def filter_k_exact(spark, sf_dir):
     return _main_out(maturity.filter_k(main_levels(spark, sf_dir), 2, fill=False))
 
 
+@query("with" + OUTT + FC + f""" select f.unique_id, f.variable, {_day('f.tp')} as date, {_day('f.vp')} as vintage_date_forecast, round(o.value - f.fv, 2) as forecast_error from fc f join outt o on o.variable = f.variable and o.tp = f.tp and o.vp = o.tp + 1""")
+def filter_k_undated(spark, sf_dir):
+    """Outturns without release dates: no maturity is asked of them, exact or not."""
+    first = raw_outturns(spark, sf_dir).where(calendar.maturity("date", "vintage_date", "Q") == 0).withColumn("vintage_date", F.lit(None).cast("date"))
+    main = maturity.main_table(raw_forecasts(spark, sf_dir), first, [], outturn_vintages=False)
+    out = maturity.filter_k(maturity.filter_k(main, 12, fill=False), 3)
+    return rounded(out, 2, "forecast_error").select("unique_id", "variable", "date", "vintage_date_forecast", "forecast_error")
+
+
 @query("with" + OUTT + FC + _main() + f" select {_MAIN_OUT} from main where tp between 4*1998 and 4*1999+3 and vintage_forecast >= 4*1997+2 and variable in ('1-URGENT', '5-LOW') and unique_id = 'mean4'")
 def filter_tables(spark, sf_dir):
     return _main_out(filters.filter_tables(main_levels(spark, sf_dir), "1998-01-01", "1999-12-31", start_vintage="1997-09-30", variables=["1-URGENT", "5-LOW"], sources=["mean4"]))
@@ -296,10 +326,14 @@ def bias_hac(spark, sf_dir):
     return out.select("variable", "unique_id", "horizon", "n_observations", "hac_maxlags", "bias_estimate", "std_error", "t_statistic")
 
 
-@query()
+@query(BASE + "," + _hac("cs", "forecast_error", BY) + f""", t as (select variable, unique_id, cast(horizon as int) as horizon, est, sqrt(s0.s0 + 2 * coalesce(s2, 0)) / n as se from s0 left join sl using ({BY}))
+select variable, unique_id, horizon, round(est - 1.959963984540054 * se, 2) as ci_lower, round(est + 1.959963984540054 * se, 2) as ci_upper, case when abs(est / se) > 1.959963984540054 then 'Biased' else 'Unbiased' end as bias_conclusion,
+ abs(est / se) > 2.5758293035489004 as below_01, abs(est / se) > 1.6448536269514722 as below_10 from t""")
 def bias_table(spark, sf_dir):
-    """With p-values, which SQL has no functions for."""
-    return bias.bias_table(main_levels(spark, sf_dir))
+    """SQL has no normal distribution: its critical values bracket the p-values at 1, 5 and 10 %."""
+    out = bias.bias_table(main_levels(spark, sf_dir))
+    out = out.withColumns({"below_01": F.col("p_value") < 0.01, "below_10": F.col("p_value") < 0.10})
+    return rounded(out, 2, "ci_lower", "ci_upper").select("variable", "unique_id", "horizon", "ci_lower", "ci_upper", "bias_conclusion", "below_01", "below_10")
 
 
 _MZ = f""", m as (select {BY}, value_forecast as x, value_outturn as y, tp, vintage_forecast, max(forecast_horizon) over (partition by {BY}) as L from cs),
@@ -319,9 +353,13 @@ def mz_hac(spark, sf_dir):
     return rounded(rounded(out, 5, "forecast_coef", "forecast_se"), 3, "joint_test_fstat").select("variable", "unique_id", "horizon", "n_observations", "forecast_coef", "forecast_se", "joint_test_fstat")
 
 
-@query()
+# With two restrictions the F distribution's tail is (1 + 2 F / d) ** (-d / 2), d the other degrees of freedom.
+@query(BASE + _MZ + """, w as (select variable, unique_id, cast(horizon as int) as horizon, n, b0, sqrt(v00) as se0, (b0*b0*v11 - 2*b0*(b1-1)*v01 + (b1-1)*(b1-1)*v00) / (2*(v00*v11 - v01*v01)) as f from zz where n >= 10)
+select variable, unique_id, horizon, 'ok' as status, round(b0, 2) as constant_coef, round(se0, 2) as constant_se, round(pow(1 + 2 * f / (n - 2), -(n - 2) / 2.0), 6) as joint_test_pvalue, pow(1 + 2 * f / (n - 2), -(n - 2) / 2.0) < 0.05 as reject_weak_efficiency from w""")
 def weak_efficiency(spark, sf_dir):
-    return efficiency.weak_efficiency(main_levels(spark, sf_dir))
+    out = efficiency.weak_efficiency(main_levels(spark, sf_dir)).where("n_observations >= 10")
+    out = rounded(rounded(out, 2, "constant_coef", "constant_se"), 6, "joint_test_pvalue")
+    return out.select("variable", "unique_id", "horizon", "status", "constant_coef", "constant_se", "joint_test_pvalue", "reject_weak_efficiency")
 
 
 _DM = """, dd as (select a.variable, a.unique_id, a.horizon, a.tp, a.vintage_forecast, a.forecast_error*a.forecast_error - b.forecast_error*b.forecast_error as d, a.forecast_error as e, b.forecast_error as eb, greatest(a.forecast_horizon, b.forecast_horizon) as forecast_horizon
@@ -337,9 +375,20 @@ def dm_table(spark, sf_dir):
     return out.select("variable", "unique_id", "horizon", "n_observations", "hac_maxlags", "rmse_ratio", "dm_statistic")
 
 
-@query()
+_DM_MAE = _DM.replace("a.forecast_error*a.forecast_error - b.forecast_error*b.forecast_error", "abs(a.forecast_error) - abs(b.forecast_error)")
+
+
+# Student's t at 5 %, two-sided, by the Cornish-Fisher expansion of the normal quantile; values that close to it are left out by both.
+_T5 = "(1.959963984540054 + 2.372271230 / nu + 2.822498616 / (nu*nu) + 2.555852090 / (nu*nu*nu) + 1.589536200 / (nu*nu*nu*nu))"
+
+
+@query(BASE + _DM_MAE + "," + _hac("dd", "d", BY) + f""", s as (select variable, unique_id, cast(horizon as int) as horizon, n, n - 1.0 as nu,
+ est / sqrt(case when s0.s0 + 2*coalesce(s1,0) < 0 then s0.s0 + 2*coalesce(s2,0) else s0.s0 + 2*coalesce(s1,0) end) * n * sqrt((n + 1 - 2*(L+1) + ((L+1)*1.0/n)*L)/n) as dm from s0 left join sl using ({BY}))
+select variable, unique_id, horizon, n as n_observations, round(dm, 4) as dm_statistic, abs(dm) > {_T5} as below_05 from s""")
 def dm_pvalues(spark, sf_dir):
-    return comparison.dm_table(main_levels(spark, sf_dir), "last", loss="mae")
+    """Absolute losses; SQL has no t distribution, so its 5 % point stands for the p-value."""
+    out = comparison.dm_table(main_levels(spark, sf_dir), "last", loss="mae").withColumn("below_05", F.col("p_value") < 0.05)
+    return rounded(out, 4, "dm_statistic").select("variable", "unique_id", "horizon", "n_observations", "dm_statistic", "below_05")
 
 
 _CROSS = """, cr as (select a.unique_id, a.horizon, a.vintage_forecast, a.forecast_horizon, a.forecast_error as u, b.value_forecast as x, b.value_outturn as zz from fk a join fk b on a.vintage_forecast = b.vintage_forecast and a.unique_id = b.unique_id
@@ -427,7 +476,8 @@ def rolling_accuracy(spark, sf_dir):
 c5 as (select mu, case when mu < 0.2 then 3.393 + (mu - 0.1) / 0.1 * (3.179 - 3.393) when mu < 0.3 then 3.179 + (mu - 0.2) / 0.1 * (3.012 - 3.179) when mu < 0.4 then 3.012 + (mu - 0.3) / 0.1 * (2.890 - 3.012) else 2.890 + (mu - 0.4) / 0.1 * (2.779 - 2.890) end as c from cv)
 select {_day('ws')} as window_start, variable, unique_id, cast(horizon as int) as horizon, round(c, 6) as critical_value_05, round(abs(est / se), 3) as test_statistic, abs(est / se) > c as reject_05, round(max(abs(est / se)) over (partition by {BY}), 3) as max_test_statistic from rb, c5""")
 def fluctuation_bias(spark, sf_dir):
-    out = rolling.fluctuation(rolling.rolling(main_levels(spark, sf_dir), 8, bias.bias_statistics), "t_statistic", 8)
+    main = main_levels(spark, sf_dir)
+    out, _ = rolling.fluctuation(rolling.rolling(main, 8, bias.bias_statistics), "t_statistic", 8, rolling.windows(main, 8))
     return rounded(rounded(out, 3, "test_statistic", "max_test_statistic"), 6, "critical_value_05").select("window_start", "variable", "unique_id", "horizon", "critical_value_05", "test_statistic", "reject_05", "max_test_statistic")
 
 
@@ -592,6 +642,37 @@ def container_main(spark, sf_dir):
     return data.df.groupBy("variable", "unique_id", "metric").agg(F.count("*").alias("n"), F.round(F.sum("forecast_error"), 0).alias("total_error"), F.min("vintage_date_forecast").alias("first_vintage"))
 
 
+@query("with" + OUTT + FC + _main() + """ select variable, unique_id, count(*) as n, round(sum(forecast_error), 0) as total_error from main where vintage_forecast < 4*2000 or unique_id <> 'mean8' group by 1, 2""")
+def container_merge(spark, sf_dir):
+    """Two containers of overlapping forecasters and outturns, merged."""
+    o = panels.quarterly_outturns(spark, sf_dir)
+    f = panels.quarterly_forecasts(o)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        data = container.ForecastData(o, f.where("source <> 'mean8'"), data_check=False)
+        data.merge(container.ForecastData(o, f.where("source <> 'last' and vintage_date < date'2000-01-01'"), data_check=False))
+    data.filter(metrics=["levels"])
+    return data.df.groupBy("variable", "unique_id").agg(F.count("*").alias("n"), F.round(F.sum("forecast_error"), 0).alias("total_error"))
+
+
+@query(MONTHLY + " select variable, cast(k as int) as k, count(*) as n, round(sum(e), 0) as total_error, cast(sum(date_diff('day', vf, vo)) as bigint) as days from main group by 1, 2")
+def container_nowcasts(spark, sf_dir):
+    """Nowcast ingestion: release ranks, days to publication."""
+    data = container.NowcastData(panels.monthly_outturns(spark, sf_dir), panels.monthly_nowcasts(spark, sf_dir), data_check=False)
+    data.filter(metrics=["levels"])
+    return data.df.groupBy("variable", "k").agg(F.count("*").alias("n"), F.round(F.sum("forecast_error"), 0).alias("total_error"), F.sum("days_to_publication").alias("days"))
+
+
+@query("with" + OUTT + FC + _main() + _DENS.removeprefix(FC) + """ select variable, unique_id, count(*) as n, round(sum(forecast_error), 0) as total_error from main group by 1, 2""")
+def container_density(spark, sf_dir):
+    """Density ingestion, then the median as point forecasts."""
+    o = panels.quarterly_outturns(spark, sf_dir)
+    data = container.DensityForecastData(o, density_data=panels.quarterly_density(panels.quarterly_forecasts(o)))
+    data.to_point_forecast()
+    data.filter(metrics=["levels"], filter_density_forecasts=False)
+    return data.df.groupBy("variable", "unique_id").agg(F.count("*").alias("n"), F.round(F.sum("forecast_error"), 0).alias("total_error"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,9 @@ contradict each other are reported together, with examples, by one aggregate.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,27 +68,40 @@ def require(df: DataFrame, schema: list[Field]) -> None:
 
 
 def validate(df: DataFrame, schema: list[Field], *, keys: list[str] | None = None) -> DataFrame:
-    """The typed table: dates at period ends, exact duplicates once. One action finds
-    all broken cells; one more finds keys with several values."""
+    """The typed table: dates at period ends, exact duplicates once."""
+    return checked(df, schema, keys=keys)[0]
+
+
+def checked(df: DataFrame, schema: list[Field], *, keys: list[str] | None = None, keep: bool = False) -> tuple[DataFrame, list[str], DataFrame]:
+    """The typed table, the frequencies in it, and what ``keep`` persisted.
+
+    One action finds all broken cells; one more finds keys with several values. With
+    ``keep`` the typed rows are persisted, so that neither these actions nor later ones
+    compute the input again.
+    """
     require(df, schema)
     known = [f for f in schema if f.name in df.columns]
     kinds = dict(df.dtypes)
     raw = {f.name: f"_raw_{f.name}" for f in known}
-    typed = df.select(*[_cast(f, kinds[f.name]).alias(f.name) for f in known], *[F.col(f"`{f.name}`").cast("string").alias(raw[f.name]) for f in known])
+    cells = df.select(*[_cast(f, kinds[f.name]).alias(f.name) for f in known], *[F.col(f"`{f.name}`").cast("string").alias(raw[f.name]) for f in known])
     checks: list[tuple[str, str, Column]] = []
     for f in known:
-        uncast = F.col(f.name).isNull() & F.col(raw[f.name]).isNotNull()
-        checks.append((f.name, f"is not of type {f.kind}", uncast))
+        checks.append((f.name, f"is not of type {f.kind}", F.col(f.name).isNull() & F.col(raw[f.name]).isNotNull()))
         if not f.nullable:
             checks.append((f.name, "is null", F.col(raw[f.name]).isNull()))
         if f.rule:
             checks.append((f.name, f.reason, ~F.expr(f.rule) & F.col(f.name).isNotNull()))
-    counted = typed.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"n{i}") for i, (_, _, c) in enumerate(checks)]).first()
+    # A bit for each broken rule travels with the row instead of the raw cells.
+    bits = reduce(Column.bitwiseOR, [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, _, c) in enumerate(checks)])
+    typed = cells.select(*[f.name for f in known], bits.alias("_bad"))
+    if keep:
+        typed = typed.persist(StorageLevel.MEMORY_AND_DISK)
+    counted = typed.agg(*[F.count_if(F.col("_bad").bitwiseAND(F.lit(1 << i)) != 0).alias(f"n{i}") for i in range(len(checks))], F.collect_set("frequency").alias("frequencies")).first()
     bad = [(i, n, why, c) for i, (n, why, c) in enumerate(checks) if counted[f"n{i}"]]
     if bad:
         lines = []
         for i, name, why, c in bad:
-            shown = [str(r[0]) for r in typed.where(c).select(raw[name]).limit(EXAMPLES).collect()]
+            shown = [str(r[0]) for r in cells.where(c).select(raw[name]).limit(EXAMPLES).collect()]
             lines.append(f"- {name} {why} in {counted[f'n{i}']} rows, such as {', '.join(shown)}")
         raise ValueError("the table breaks its schema:\n" + "\n".join(lines))
     out = typed.select(*[f.name for f in known]).withColumn("date", calendar.period_end("date", F.col("frequency"))).distinct()
@@ -95,7 +110,7 @@ def validate(df: DataFrame, schema: list[Field], *, keys: list[str] | None = Non
     if twice:
         shown = "; ".join(", ".join(f"{k}={r[k]}" for k in keys) for r in twice)
         raise ValueError(f"several values for one key: {shown}")
-    return out
+    return out, counted["frequencies"], typed
 
 
 def with_distance(df: DataFrame) -> DataFrame:
