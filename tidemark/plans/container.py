@@ -280,12 +280,10 @@ class ForecastData:
 
     # -- analyses and plots, as methods -------------------------------------------------
     def __getattr__(self, name: str):
-        if name.startswith("plot_"):
-            from . import plot_data
+        from . import drawing
 
-            f = getattr(plot_data, name.removeprefix("plot_") + "_data", None)
-            if f is not None:
-                return lambda *a, **k: plot_data.draw(f(self, *a, **k), name)
+        if name.startswith("plot_") and name.removeprefix("plot_") in drawing.CHARTS:
+            return lambda *a, **k: drawing.chart(name.removeprefix("plot_"), self, *a, **k)
         raise AttributeError(name)
 
     def run_dashboard(self, *args, **kwargs):

@@ -1,7 +1,7 @@
 """What each chart shows, as a DataFrame; drawing is optional.
 
-``{name}_data`` gives the rows of chart ``name``. Charts draw a few series, so a
-caller may convert the result to pandas; the queries themselves stay distributed.
+``{name}_data`` gives the rows of chart ``name``; ``drawing`` draws them. Charts show a
+few series, so their rows may go to the driver; the queries themselves stay distributed.
 """
 
 from __future__ import annotations
@@ -232,33 +232,26 @@ def density_vintage_data(data, vintage, variable: str, metric: str = "levels", q
 
 #: Chart of each analysis; the others have none.
 CHART = {
-    "compute_accuracy_statistics": accuracy_data,
-    "bias_analysis": bias_by_horizon_data,
-    "strong_efficiency_analysis": strong_efficiency_data,
-    "blanchard_leigh_horizon_analysis": blanchard_leigh_ratios_data,
-    "forecast_errors_correlation_analysis": correlation_heatmap_data,
+    "compute_accuracy_statistics": "accuracy",
+    "bias_analysis": "bias_by_horizon",
+    "strong_efficiency_analysis": "strong_efficiency",
+    "blanchard_leigh_horizon_analysis": "blanchard_leigh_ratios",
+    "forecast_errors_correlation_analysis": "correlation_heatmap",
 }
 
 
-def of_result(result, **args) -> DataFrame:
+def chart_of(result) -> str:
+    """Name of the chart that shows a result."""
     name = result.metadata.get("test_name")
     if name in ("rolling_analysis", "fluctuation_tests"):
         cols = result.to_df().columns
-        chart = rolling_relative_accuracy_data if "rmse_ratio" in cols else rolling_bias_data if "bias_estimate" in cols else rolling_correlation_data if "correlation" in cols else None
+        chart = "rolling_relative_accuracy" if "rmse_ratio" in cols else "rolling_bias" if "bias_estimate" in cols else "rolling_correlation" if "correlation" in cols else None
     else:
         chart = CHART.get(name)
     if chart is None:
         raise NotImplementedError(f"{name} has no chart")
-    return chart(result, **args)
-
-
-def draw(df: DataFrame, title: str = ""):
-    """A plain line chart of the first numeric columns, if matplotlib is there; else the data."""
-    try:
-        import matplotlib.pyplot as plt
-    except ImportError:
-        return df
-    pdf = df.toPandas()
-    fig, ax = plt.subplots()
-    pdf.plot(ax=ax, title=title)
-    return fig, ax
+    return chart
+
+
+def of_result(result, **args) -> DataFrame:
+    return globals()[f"{chart_of(result)}_data"](result, **args)

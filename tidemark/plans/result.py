@@ -81,8 +81,8 @@ class TestResult:
 
         return plot_data.of_result(self, **args)
 
-    def plot(self, **args):
-        """Draws where matplotlib is installed; otherwise says where the data are."""
-        from . import plot_data
+    def plot(self, *, existing_plot=None, custom_labels: dict[str, str] | None = None, title: str | None = None, **args):
+        """Draws where matplotlib is installed; otherwise gives the chart's data."""
+        from . import drawing, plot_data
 
-        return plot_data.draw(plot_data.of_result(self, **args), self.metadata.get("test_name", ""))
+        return drawing.draw(plot_data.of_result(self, **args), plot_data.chart_of(self), existing_plot=existing_plot, custom_labels=custom_labels, title=title)
