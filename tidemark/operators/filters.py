@@ -98,7 +98,7 @@ def filter_tables(
 
 
 def covid_filter(df: DataFrame, vintage: str = "vintage_date_forecast") -> DataFrame:
-    """Leaves out pandemic targets of forecasts made before they were known."""
+    """Leaves out pandemic targets of forecasts made before they were known. The dates are fixed values."""
     d, v = F.col("date"), F.col(vintage)
     gdp = (d < "2020-01-01") | (d >= "2022-04-01") | (v >= "2022-01-01")
     other = (d < "2020-01-01") | (d > "2021-12-31") | (v >= "2020-10-01")

@@ -83,7 +83,7 @@ def to_levels(outturns: DataFrame, forecasts: DataFrame) -> DataFrame:
     hist = o.groupBy("variable", "frequency", "vintage_date").agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))).alias("hist"))
     dated = hist.where("vintage_date is not null")
     undated = hist.where("vintage_date is null").select("variable", "frequency", F.col("hist").alias("hist0"))
-    other = other.join(dated, ["variable", "frequency", "vintage_date"], "left").join(F.broadcast(undated), ["variable", "frequency"], "left")
+    other = other.join(dated, ["variable", "frequency", "vintage_date"], "left").join(undated, ["variable", "frequency"], "left")
     other = other.withColumn("hist", F.coalesce("hist", "hist0")).drop("hist0")
     other = other.withColumn("p", calendar.period_index("date", F.col("frequency"))).withColumn("p0", calendar.period_index("last_obs", F.col("frequency")))
     base_p = F.array_max(F.filter(F.map_keys("hist"), lambda x: x <= F.col("p0")))
@@ -119,7 +119,7 @@ def prepare_forecasts(forecasts: DataFrame, outturns: DataFrame, id_columns: lis
         o = o.drop("_aligned")
     ids = levels.select("variable", "frequency", "vintage_date", "unique_id", *id_columns).distinct()
     if outturn_vintages:
-        o = o.join(F.broadcast(least), "frequency").where(F.col("target_minus_vintage").isNull() | (F.col("target_minus_vintage") >= F.col("_least") - (year + 1)))
+        o = o.join(least, "frequency").where(F.col("target_minus_vintage").isNull() | (F.col("target_minus_vintage") >= F.col("_least") - (year + 1)))
         helper = o.select("date", "variable", "frequency", "vintage_date", "value").join(ids, ["variable", "frequency", "vintage_date"])
     else:
         # Undated outturns: the last year and one period before each vintage.

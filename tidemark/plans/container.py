@@ -154,17 +154,7 @@ class ForecastData:
         self._kept = []
 
     def _fresh(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
-        """New rows whose key is unknown. Known keys with other values are an error
-        when they differ by much, else they are dropped with a warning."""
-        if old is None:
-            return new
-        previous, same = known_keys(new, old)
-        gap = new.join(previous, same).agg(F.count("*").alias("n"), F.try_divide(F.avg(F.abs(F.col("value") - F.col("_value"))), F.stddev_pop("_value")).alias("g")).first()
-        if gap["n"]:
-            if gap["g"] is not None and gap["g"] > DUPLICATE_TOLERANCE:
-                raise ValueError(f"{gap['n']} rows contradict rows that are there already")
-            warnings.warn(f"{gap['n']} rows are there already and are left out", UserWarning, stacklevel=3)
-        return fresh_rows(new, old)
+        return new if old is None else unknown_rows(new, old)
 
     def _warn_missing(self, new: DataFrame) -> None:
         keys = ["variable", "frequency"]
@@ -303,6 +293,18 @@ def fresh_rows(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(previous, same, "left_anti")
 
 
+def unknown_rows(new: DataFrame, old: DataFrame) -> DataFrame:
+    """New rows whose key is unknown. Known keys with other values are an error when
+    they differ by much, else they are dropped with a warning."""
+    previous, same = known_keys(new, old)
+    gap = new.join(previous, same).agg(F.count("*").alias("n"), F.try_divide(F.avg(F.abs(F.col("value") - F.col("_value"))), F.stddev_pop("_value")).alias("g")).first()
+    if gap["n"]:
+        if gap["g"] is not None and gap["g"] > DUPLICATE_TOLERANCE:
+            raise ValueError(f"{gap['n']} rows contradict rows that are there already")
+        warnings.warn(f"{gap['n']} rows are there already and are left out", UserWarning, stacklevel=4)
+    return fresh_rows(new, old)
+
+
 TARGET = ["date", "variable", "metric", "frequency"]
 CHECKED = ["source", "variable", "metric"]
 

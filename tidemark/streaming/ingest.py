@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.container import unknown_rows
 from ..sources import schema
 
 
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends rows whose key the table lacks; a repeated batch appends nothing."""
+    """Appends rows whose key the table lacks; a repeated batch appends nothing.
+
+    Rows whose key is there with quite another value fail the batch, as they fail a
+    container; those with nearly the same are left out with a warning.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
     try:
-        old = spark.read.parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        old = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001  the table isn't there yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         old = None
     if old is not None:
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        fresh = fresh.join(old, same, "left_anti")
+        fresh = unknown_rows(fresh, old.select(*keys, "value"))
     fresh.write.mode("append").parquet(path)
 
 
