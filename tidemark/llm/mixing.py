@@ -8,13 +8,17 @@ the left half receives a multivariate-hypergeometric draw from the node's pool,
 so every shard's make-up is that of a random deal, and leaves take consecutive,
 hence disjoint, blocks. Within a shard rows are ordered by a keyed hash.
 
-The driver sees one row per source and block (at most ``BLOCK_TABLE``), never
-rows of the corpus; selection is an expression against a broadcast table of one
-row per source. Reruns with the same seed agree.
-
-Edge cases: a null text has no words; a null source is a source, the last one;
-rows without words are taken as often as their block; identical rows are taken
-alike; an empty table gives an empty result; extra columns are kept as they are.
+The driver sees one row per source and one per source and block (``BLOCK_TABLE``
+together, or one a source where there are more sources), never rows of the corpus;
+selection is an expression against a table of one row per source, which is broadcast
+up to ``BROADCAST_SOURCES`` of them and else joined in parts, so that a source of a
+third of all rows isn't one task. Reruns with the same seed agree.
+
+Edge cases: a null text has no words, a very long one is counted whole; a null source
+is a source, the last one; rows without words are taken as often as their block;
+identical rows are taken alike, and rows of equal key and text go the same way (ties);
+an empty table gives an empty result; extra columns are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, literal_rows, materialize
+from .common import SALTS, WORD, literal_rows, materialize, new_path, salt
 
-#: Most sources; beyond it the plan would be no small table.
-MAX_SOURCES = 50_000
+#: Sources whose plan is broadcast, and rows of the plan in one literal.
+BROADCAST_SOURCES, LITERAL = 5_000, 5_000
 #: Rows of the table of blocks that the driver reads, and blocks of a source.
 BLOCK_TABLE, BLOCKS = 400_000, 1024
 
@@ -42,6 +46,15 @@ class Mix:
     seed: int = 20240607
 
 
+@dataclass(frozen=True)
+class Plan:
+    """One row per source, the blocks of a source, and whether the table may be broadcast."""
+
+    table: DataFrame
+    blocks: int
+    small: bool
+
+
 def targets(sizes: list[int], how: Mix) -> list[float]:
     """Words wanted of each source, in source order: weights repeat, no target
     above ``most`` times its size, what is above is shared anew by weight."""
@@ -125,8 +138,8 @@ def _passes(prefix: str = "") -> Column:
     return F.filter(F.array(one(0), one(1)), lambda s: s >= 0)
 
 
-def prepare(df: DataFrame, how: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
-    """The rows without their texts, the plan (one row per source), and the blocks of a source."""
+def prepare(df: DataFrame, how: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, Plan]:
+    """The rows without their texts, and the plan."""
     spark = df.sparkSession
     slim = materialize(
         df.select(
@@ -134,9 +147,7 @@ def prepare(df: DataFrame, how: Mix = Mix(), key: str = "doc_id", text: str = "t
         ),
         "mix-rows",
     )
-    found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = slim.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     blocks = max(1, min(BLOCKS, BLOCK_TABLE // max(1, len(found))))
     at = {r["source"]: i for i, r in enumerate(found)}
@@ -147,45 +158,76 @@ def prepare(df: DataFrame, how: Mix = Mix(), key: str = "doc_id", text: str = "t
     want = targets([r["size"] for r in found], how)
     plan = [{"source": r["source"], "source_size": r["size"], "target": t} | p for r, t, p in zip(found, want, plan_blocks(words, want, how), strict=True)]
     small = [{k: p[k] for k in ("source", "cut_block", "cut_words")} for p in plan if p["cut_block"] >= 0]
-    cut = literal_rows(spark, small, "source string, cut_block int, cut_words double").withColumnRenamed("source", "of")
+    cut = _table(spark, small, "source string, cut_block int, cut_words double")
     # Only rows of the one cut block of each source are ordered.
-    in_cut = blocked.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("cut_block")))
+    in_cut = _of_source(blocked, cut, "source", "row", len(found) <= BROADCAST_SOURCES).where("block = cut_block")
     order = Window.partitionBy("source").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.sum("words").over(order) - F.col("words") / 2
     cut_rows = in_cut.groupBy("source", "row", "cut_words").agg(F.sum("size").alias("words")).withColumn("middle", middle).where("middle <= cut_words").groupBy("source").agg(F.max("row").alias("row")).collect()  # one per source
     last = {r["source"]: r["row"] for r in cut_rows}
     plan = [p | {"cut_row": last.get(p["source"])} for p in plan]
-    table = literal_rows(spark, plan, "source string, source_size long, target double, pass_0 array<int>, pass_1 array<int>, cut_pass int, cut_block int, cut_words double, cut_row long")
-    return slim, table, blocks
+    table = _table(spark, plan, "source string, source_size long, target double, pass_0 array<int>, pass_1 array<int>, cut_pass int, cut_block int, cut_words double, cut_row long")
+    return slim, Plan(table, blocks, len(found) <= BROADCAST_SOURCES)
+
+
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Driver-side rows as a table; many of them are written in pieces."""
+    if len(rows) <= BROADCAST_SOURCES:
+        return literal_rows(spark, rows, schema)
+    path = new_path(spark, "mix-plan")
+    for i in range(0, len(rows), LITERAL):
+        literal_rows(spark, rows[i : i + LITERAL], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _of_source(rows: DataFrame, plan: DataFrame, source: str, by: str, small: bool, mark: str = "") -> DataFrame:
+    """Joins rows with their source's row of the plan, whose columns get the prefix ``mark``;
+    a plan that isn't small meets the rows of a source in ``SALTS`` parts."""
+    own = [c for c in plan.columns if c != "source"]
+    right = plan.select(F.col("source").alias("__of"), *[F.col(c).alias(mark + c) for c in own])
+    same = F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__of"))
+    if small:
+        return rows.join(F.broadcast(right), same).drop("__of")
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt(by)).join(right, same & (F.col("__salt") == F.col("__part"))).drop("__of", "__salt", "__part")
 
 
 def shares(df: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` of every row."""
-    slim, plan, blocks = prepare(df, how)
-    plan = plan.withColumnRenamed("source", "of")
-    rows = slim.withColumn("block", F.pmod(F.col("row"), F.lit(blocks)).cast("int")).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))
-    copies = F.size(_passes())
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    """``doc_id, size, source_size, target, taken, copies, shards, orders`` of every row;
+    ``shards`` has the output shard of each copy and ``orders`` its place there."""
+    slim, plan = prepare(df, how)
+    rows = slim.withColumn("block", F.pmod(F.col("row"), F.lit(plan.blocks)).cast("int"))
+    rows = _of_source(rows, plan.table, "source", "row", plan.small)
+    rows = rows.withColumn("shards", _passes())
+    copies = F.size("shards")
+    orders = F.transform("shards", lambda s, p: _place(how, s, p, F.col("row")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "shards", orders.alias("orders"))
+
+
+def _place(how: Mix, shard: Column, turn: Column, row: Column) -> Column:
+    return F.xxhash64(F.lit(how.seed + 1), shard, turn, row)
 
 
 def mix(df: DataFrame, how: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source", *, keep_place: bool = False) -> DataFrame:
-    """The mix itself: every row as often as it is drawn, in its local order.
+    """The mix itself: every row as often as it is drawn, gathered by output shard and in
+    the shard's shuffled order.
 
-    With ``keep_place`` two columns follow: ``mix_shard`` and ``mix_order``. Texts
-    are not shuffled; write with :func:`write` to gather each shard's rows.
+    Partitions hold parts of shards, ``parts`` of each by the order's remainder, sorted.
+    With ``keep_place`` two columns follow: ``mix_shard`` and ``mix_order``.
     """
-    _, plan, blocks = prepare(df, how, key, text, source)
+    spark = df.sparkSession
+    _, plan = prepare(df, how, key, text, source)
     mark = "__mix_"
-    plan = plan.select([F.col(c).alias(mark + c) for c in plan.columns])
-    drawn = df.withColumn(f"{mark}row", _row_key(key, text, how.seed)).withColumn(f"{mark}block", F.pmod(F.col(f"{mark}row"), F.lit(blocks)).cast("int"))
-    drawn = drawn.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col(f"{mark}source")))
+    drawn = df.withColumn(f"{mark}row", _row_key(key, text, how.seed)).withColumn(f"{mark}block", F.pmod(F.col(f"{mark}row"), F.lit(plan.blocks)).cast("int"))
+    drawn = _of_source(drawn, plan.table, source, f"{mark}row", plan.small, mark)
     drawn = drawn.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"{mark}row"), F.posexplode(_passes(mark)).alias(f"{mark}pass", f"{mark}shard"))
-    drawn = drawn.withColumn(f"{mark}order", F.xxhash64(F.lit(how.seed + 1), f"{mark}shard", f"{mark}pass", f"{mark}row")).sortWithinPartitions(f"{mark}shard", f"{mark}order")
+    drawn = drawn.withColumn(f"{mark}order", _place(how, F.col(f"{mark}shard"), F.col(f"{mark}pass"), F.col(f"{mark}row")))
+    parts = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // how.shards)
+    drawn = drawn.repartition(F.col(f"{mark}shard"), F.pmod(F.col(f"{mark}order"), F.lit(parts))).sortWithinPartitions(f"{mark}shard", f"{mark}order")
     own = [F.col(f"`{c}`") for c in df.columns]
     return drawn.select(*own, F.col(f"{mark}shard").alias("mix_shard"), F.col(f"{mark}order").alias("mix_order")) if keep_place else drawn.select(*own)
 
 
-def write(mixed: DataFrame, path: str, parts: int = 4) -> None:
-    """Files of each shard in a folder of its own, ``parts`` files each, in shuffled order."""
-    spread = mixed.repartition(F.col("mix_shard"), F.pmod(F.col("mix_order"), F.lit(parts))).sortWithinPartitions("mix_shard", "mix_order")
-    spread.write.partitionBy("mix_shard").parquet(path)
+def write(mixed: DataFrame, path: str) -> None:
+    """Files of each shard in a folder of its own, from :func:`mix` with ``keep_place``."""
+    mixed.write.partitionBy("mix_shard").parquet(path)
