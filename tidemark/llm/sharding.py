@@ -14,7 +14,8 @@ misses its share by at most half a unit for each of its cuts.
 
 Edge cases: a null text weighs as an empty one (8 bytes) and shares its place;
 null ids are ids like any other; identical rows (same id, same text) stay in one
-unit; an empty table gives an empty result; extra columns are ignored.
+unit; a very long text is a unit like any other; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ The model is fitted on a bounded sample of labelled rows: ``Fit.max_rows`` rows
 at most (in expectation), chosen by a hash of the id. The one training task
 holds only that sample. Scoring covers every row and whole texts.
 
-Edge cases: null and empty texts have no features and score by the intercept;
-rows with a null label or id do not train; repeated labels of an id count once
+Edge cases: null and empty texts have no features and score by the intercept; very
+long texts are scored whole; equal texts (repeated rows) score alike; rows with a null label or id do not train; repeated labels of an id count once
 (the largest); without labelled rows (or with one class only) there is no
 evidence: every score is 0; extra columns are kept.
 """
@@ -160,16 +160,18 @@ def train(rows: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], fit: Fit = Fit(), text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
+    table: list[np.ndarray] = []  # one for each task
 
     @F.arrow_udf("double")
     def probability(col: pa.Array) -> pa.Array:
         claim("toxicity")
         at, w = shared.value
-        dense = np.zeros((1 << fit.bits) + 1, np.float32)
-        np.add.at(dense, at, w)  # the intercept comes in two parts
-        intercept = dense[-1]
         if not len(at):
             return pa.array(np.zeros(len(col)))
+        if not table:
+            table.append(np.zeros((1 << fit.bits) + 1, np.float32))
+            np.add.at(table[0], at, w)  # the intercept comes in two parts
+        dense, intercept = table[0], table[0][-1]
         raw = np.array([dense[features(t, fit.bits)].sum(dtype=np.float64) + intercept for t in col.to_pylist()])
         return pa.array(1 / (1 + np.exp(-np.clip(raw, -35, 35))))
 
