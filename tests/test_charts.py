@@ -135,3 +135,17 @@ def test_diebold_mariano_of_a_list(spark):
         tm.diebold_mariano_test([1.0], 0)
     row = spark.createDataFrame([([float(x) for x in d], 2)], "d array<double>, hac_maxlags int")
     assert comparison.dm_series(row).select(F.col("dm_statistic")).first()[0] == pytest.approx(got["dm_statistic"])
+
+
+# -- tabs --------------------------------------------------------------------------------
+def test_tabs_are_the_analyses_of_a_copy(spark):
+    from tidemark.plans import tabs
+
+    d = tm.ForecastData(tm.create_sample_outturns(spark), tm.create_sample_forecasts(spark), data_check=False)
+    assert "radar" in tabs.names(d) and not {"quantile_time_machine", "intra_period_bias"} & set(tabs.names(d))
+    found = tabs.run(d, "average_accuracy", filters={"metrics": ["levels"], "start_date": "2024-01-01"}, without_covid=True)
+    assert found.to_df().select("metric").distinct().collect() == [("levels",)]
+    text = tabs.download(d, "accuracy_summary", filters={"metrics": ["levels"]})
+    assert text.splitlines()[0] == "horizon,start_date,end_date,n_observations" and d.df.where("metric = 'pop'").count() > 0
+    with pytest.raises(ValueError, match="no tab"):
+        tabs.run(d, "intra_period_bias")

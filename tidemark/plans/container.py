@@ -277,7 +277,7 @@ class ForecastData:
         raise AttributeError(name)
 
     def run_dashboard(self, *args, **kwargs):
-        raise NotImplementedError("no dashboard here: its tabs are the analyses and their plot data")
+        raise NotImplementedError("no dashboard here; plans.tabs computes what its tabs show")
 
 
 def known_keys(new: DataFrame, old: DataFrame) -> tuple[DataFrame, Column]:
