@@ -247,53 +247,6 @@ def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str =
     return languages, names, table
 
 
-def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language of the largest share, and that share."""
-        out = []
-        for share in self.all_shares(texts):
-            best = 0 if share is None else int(np.argmax(share))
-            out.append(("und", 0.0) if share is None else (self.languages[best], float(min(1.0, share[best]))))
-        return out
-
-
-def train(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str], np.ndarray]:
-    """Languages, n-grams and their conditional probabilities, from rows with a language."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) <= fit.longest)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1_000_003)).alias("turn"))
-    rate = F.least(F.lit(1.0), F.lit(fit.max_rows) / F.count("*"), F.lit(fit.max_chars) / F.greatest(F.sum(F.length("text")), F.lit(1)))
-    sizes = rows.groupBy("lang").agg(F.floor(rate * 1_000_003).alias("rate"))
-    sample = rows.join(F.broadcast(sizes), "lang").where("turn < rate")
-    order = fit.order
-
-    def count(batches):
-        found: dict[str, Counter] = {}
-        for b in batches:
-            for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                tally = found.setdefault(g, Counter())
-                for w, c in Counter(_LETTERS.findall(t.lower())).items():
-                    for x in _grams(w, order):
-                        tally[x] += c
-        for g, tally in found.items():
-            keys = list(tally)
-            for i in range(0, len(keys), 100_000):
-                part = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"lang": [g] * len(part), "gram": part, "n": [tally[k] for k in part]}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
-
-    # The sample of each language is bounded, and so are its n-grams.
-    grams = sample.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= fit.min_count).toArrow()
-    languages = sorted(set(grams.column("lang").to_pylist()))
-    at = {g: i for i, g in enumerate(languages)}
-    counts: dict[str, list[float]] = {}
-    before: dict[str, list[float]] = {}
-    for g, x, n in zip(grams.column("lang").to_pylist(), grams.column("gram").to_pylist(), grams.column("n").to_pylist(), strict=True):
-        counts.setdefault(x, [0.0] * len(languages))[at[g]] += n
-        before.setdefault(x[:-1], [0.0] * len(languages))[at[g]] += n
-    table = []
-    for x, n in counts.items():
-        b = before[x[:-1]]
-        table.append((x, [c / (d + 1.0) for c, d in zip(n, b, strict=True)]))
-    return languages, table
-
-
 def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], fit: Fit = Fit(), text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``, the share of that language in the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
