@@ -1,7 +1,9 @@
 """BPE, token files, quality, languages, toxicity and personal data."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -151,16 +153,90 @@ def test_mixture_of_two_languages(docs):
 def test_all_languages_and_whole_words_are_learned(spark):
     tail = "\u03b1\u03b2\u03b3"
     rows = [(i, "common words", f"l{i:03}") for i in range(505)] + [(900 + i, "x" * 70 + tail, "l600") for i in range(2)]
-    languages, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Fit(min_count=1))
-    assert len(languages) == 506 and tail in dict(table)
+    languages, grams, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Fit(min_count=1))
+    assert len(languages) == 506 and tail in grams and table.shape == (len(grams), 506)
+    languages, grams, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Fit(max_cells=506 * 10))
+    assert len(languages) == 506 and len(grams) == 10  # a language seen once is learned too
+
+
+def plain_language(train, text, fit):
+    """n-gram probabilities, mixture shares and thinning, in plain loops over dicts."""
+    counts = {g: Counter() for g in sorted({g for _, g in train})}
+    for t, g in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            s = f" {w} "
+            counts[g].update(s[i - n + 1 : i + 1] for i in range(1, len(s)) for n in range(1, fit.order + 1) if i - n + 1 >= 0)
+    for c in counts.values():
+        for x in [x for x, n in c.items() if n < fit.min_count]:
+            del c[x]
+    before = {g: Counter() for g in counts}
+    for g, c in counts.items():
+        for x, n in c.items():
+            before[g][x[:-1]] += n
+
+    def like(w, g):
+        s, total = f" {w} ", 0.0
+        for i in range(1, len(s)):
+            p = 1e-6
+            for n in range(1, fit.order + 1):
+                if i - n + 1 >= 0:
+                    x = s[i - n + 1 : i + 1]
+                    known = any(x in c for c in counts.values())
+                    p = 0.25 * p + 0.75 * (counts[g][x] / (before[g][x[:-1]] + 1) if known and x in counts[g] else 0.0)
+            total += math.log(max(p, 1e-9))
+        return total
+
+    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    tongues = list(counts)
+    table = {w: {g: like(w, g) for g in tongues} for w in words}
+    likely = {w: {g: math.exp(x - max(r.values())) for g, x in r.items()} for w, r in table.items()}
+
+    def em(share):
+        share = {g: max(x, 1e-6) for g, x in share.items()}
+        share = {g: x / sum(share.values()) for g, x in share.items()}
+        for _ in range(fit.rounds if len(share) > 1 else 0):
+            new = {g: sum(c * x * likely[w][g] / sum(y * likely[w][h] for h, y in share.items()) for w, c in words.items()) / sum(words.values()) for g, x in share.items()}
+            done = max(abs(new[g] - share[g]) for g in share) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(c * math.log(max(sum(y * likely[w][h] for h, y in share.items()), 1e-300)) for w, c in words.items())
+
+    share, fitted = em({g: 1 / len(tongues) for g in tongues})
+    while len(share) > 1:
+        least = min(share, key=lambda g: share[g])
+        less, found = em({g: x for g, x in share.items() if g != least})
+        if found + fit.penalty * 0.5 * math.log(max(sum(words.values()), 2)) < fitted:
+            break
+        share, fitted = less, found
+    return share
+
+
+def test_languages_by_brute_force(spark, docs):
+    fit = langid.Fit(max_rows=10**6)
+    rows = [(r["text"], r["lang"]) for r in docs.where("lang is not null and n_chars between 20 and 1500").orderBy("doc_id").limit(160).collect()]
+    train, test = rows[:120], [t for t, _ in rows[120:150]] + [rows[130][0][:200] + " " + rows[141][0][:200]]
+    model = langid.Model(*langid.train(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id long, text string, lang string"), fit), fit)
+    for t in test:
+        want = plain_language(train, t, fit)
+        got = dict(zip(model.languages, model.shares(t), strict=True))
+        assert all(got[g] == pytest.approx(want.get(g, 0.0), abs=2e-3) for g in got)
+
+
+def test_a_word_of_any_length(docs):
+    model = langid.Model(*langid.train(docs), langid.Fit())
+    word = "quel".join("abcdefgh"[i % 7 : i % 7 + 2] for i in range(900))
+    whole = model._words([word])[0]
+    model._piece = 100
+    assert np.allclose(model._long(word), whole, rtol=1e-4) and model.predict(["x" + word])[0][0] in model.languages
 
 
 def test_language_edges(odd, none):
     model = langid.train(odd)
     out = {(r["doc_id"], r["text"]): r for r in langid.predict(odd, model).collect()}
     assert out[2, None]["lang_pred"] == "und" and out[3, ""]["score"] == 0.0
-    assert langid.predict(none, model).count() == 0 and langid.train(none) == ([], [])
-    assert {r["lang_pred"] for r in langid.predict(odd, ([], [])).collect()} == {"und"}
+    assert langid.predict(none, model).count() == 0 and langid.train(none)[:2] == ([], [])
+    assert {r["lang_pred"] for r in langid.predict(odd, ([], [], np.zeros((0, 0)))).collect()} == {"und"}
 
 
 # -- toxicity ------------------------------------------------------------------------------
@@ -173,6 +249,54 @@ def test_toxicity_held_out(spark):
     assert (bad["predicted"] == 1).mean() > 0.7 and (good["predicted"] == 0).mean() > 0.98
 
 
+def test_toxicity_by_brute_force(spark):
+    """The same rule over dicts of plain n-grams: no hashing, no numpy."""
+    rng = np.random.default_rng(3)
+    plain, foul = [f"w{i}" for i in range(40)], ["vile", "grim", "foul"]
+    rows = []
+    for i in range(150):
+        words = [str(w) for w in rng.choice(plain, 12)]
+        if i % 3 == 0:
+            words[int(rng.integers(12))] = foul[i % 3]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    fit = toxicity.Fit(bits=22, l1=0.5)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.fit_and_score(docs, labels, fit).collect()}
+    order = [r["text"] for r in toxicity.train_rows(docs, labels, fit).orderBy("turn", "label", "text").collect()]
+    label = {t: y for _, t, y in rows}
+
+    def grams(t):
+        w = t.split()
+        return {(x,) for x in w} | set(zip(w, w[1:], strict=False)) | {(a, None, b) for a, b in zip(w, w[2:], strict=False)}
+
+    z, n = Counter(), Counter()
+
+    def weight(x):
+        if x != "bias" and abs(z[x]) <= fit.l1:
+            return 0.0
+        shrunk = -z[x] if x == "bias" else math.copysign(fit.l1, z[x]) - z[x]
+        return shrunk / ((fit.beta + math.sqrt(n[x])) / fit.alpha + fit.l2)
+
+    raw = lambda t: sum(weight(x) for x in grams(t)) + weight("bias")
+    cut = len(order) - len(order) // 5
+    for _ in range(fit.passes):
+        for t in order[:cut]:
+            own = [*grams(t), "bias"]
+            w = {x: weight(x) for x in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label[t]
+            for x in own:
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / fit.alpha * w[x]
+                n[x] += g * g
+    held = sorted((raw(t), label[t]) for t in order[cut:])
+    bad, good = sum(y for _, y in held), sum(1 - y for _, y in held)
+    gains = [(sum(y for _, y in held[i + 1 :]) / bad - fit.false_alarm * sum(1 - y for _, y in held[i + 1 :]) / good, -i) for i in range(len(held)) if i + 1 == len(held) or held[i][0] != held[i + 1][0]]
+    best = -max(gains)[1]
+    shift = -(held[best][0] + held[best + 1][0]) / 2 if best + 1 < len(held) else 0.0
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(raw(t) + shift))), abs=5e-3)  # a few n-grams share a coordinate
+
+
 def test_toxicity_is_sparse(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     at, _ = toxicity.train(toxicity.train_rows(docs, labels))
@@ -280,6 +404,89 @@ def test_names_are_replaced_whole(text, names):
     assert "type O" in new or "type O" not in text
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("Maria Lopez wrote to Bob; later Lopez left.", {"name": ["Maria", "Lopez"]}),
+        ("please call 555-0134 or fax: 020 7946", {"number": ["555-0134", "020 7946"]}),
+        ("host fe80::1ff:fe23:4567:890a and 2001:db8::1, at 10:30:15", {"ip6": ["fe80::1ff:fe23:4567:890a", "2001:db8::1"]}),
+        ("Authorization: Bearer abcdefghijk12345 x", {"secret": ["abcdefghijk12345"]}),
+        ("use ghp_abcdEFGHijkl0123456789 now", {"token": ["ghp_abcdEFGHijkl0123456789"]}),
+        ("seen 2024-01-15 10:30 and 15/01/2024 and 2024-01-15T10:30:59 ok", {}),
+        ("compass: northwest, basic education, a::b and the sk-board", {}),
+        ("mac Aa:bb:0c:dd:ee:01 and aa:bb:0c:dd:ee:01", {"mac": ["Aa:bb:0c:dd:ee:01", "aa:bb:0c:dd:ee:01"]}),
+        ("a@b.co, x.y@sub.mail-host.example.org. and @no or no@where", {"email": ["a@b.co", "x.y@sub.mail-host.example.org"]}),
+    ],
+)
+def test_what_is_found(text, kinds):
+    new, made = pii.replace(text, b"k")
+    found = {}
+    for kind, entity, surrogate in made:
+        assert entity != surrogate
+        if entity not in found.setdefault(kind, []):
+            found[kind].append(entity)
+    assert found == kinds and len({m[2] for m in made}) == len({m[1] for m in made})
+
+
+def test_surrogates_are_a_permutation_without_fixed_points():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}{b}@example.com" for a in letters for b in letters]
+    out = [pii._email(b"k", m) for m in mails]
+    assert set(out) == set(mails) and all(a != b for a, b in zip(mails, out, strict=True))
+    macs = [f"{a}{b}:00:00:00:00:{c}0" for a in "aA1" for b in "bB2" for c in "cC3"]
+    assert len({pii._mac(b"k", m) for m in macs}) == len(macs)
+    ibans = []
+    for i in range(400):
+        body = f"WEST{i:014d}"
+        ibans.append(f"GB{98 - int(''.join(str(int(c, 36)) for c in body + 'GB') + '00') % 97:02d}{body}")
+    out = [pii._iban(b"k", x) for x in ibans]
+    assert len(set(out)) == len(ibans) and all(pii._valid_iban(x) and x not in ibans for x in out)
+    spaced = pii._iban(b"k", "GB82 WEST 1234 5698 7654 32")
+    assert spaced.replace(" ", "") == pii._iban(b"k", "GB82WEST12345698765432")
+    assert re.sub(r"\D", "", pii._number(b"k", "+1 (415) 555-0134")) == pii._number(b"k", "14155550134")
+
+
+def test_finding_takes_linear_time():
+    began = time.process_time()
+    assert len(pii.find(" ".join(f"u{i}@mail{i % 9}.example.com" for i in range(100_000)))) == 100_000
+    mid = time.process_time()
+    assert pii.find("a1" * 500_000 + " and @ one") == [] and len(pii.find("Dr " + " ".join(f"Name{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(2000)))) == 2000
+    assert mid - began < 5 and time.process_time() - mid < 5
+
+
+def test_planted_data_by_plain_patterns(docs):
+    """Nothing of these forms stays, all else does: the text is what remains when entities change places with surrogates."""
+    forms = [r"[\w.]+@mail\d+\.example\.com", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\b4\d{15}\b", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"AKIA[A-Z0-9]{16}", r"(?<=password=)[0-9a-f]{10,}", r'(?<=token = ")[0-9a-f]{40}']
+    n = 0
+    for r in docs.select("text").where("text is not null").collect():
+        planted = [m[0] for f in forms for m in re.finditer(f, r["text"])]
+        new, made = pii.replace(r["text"], b"k")
+        n += len(planted)
+        assert set(planted) <= {m[1] for m in made} and not [x for x in planted if x in new]
+        at = 0
+        for _, entity, surrogate in made:
+            i = r["text"].index(entity, at)
+            at = i + len(entity)
+        back, at = [], 0
+        for _, entity, surrogate in made:
+            i = new.index(surrogate, at)
+            back += [new[at:i], entity]
+            at = i + len(surrogate)
+        assert "".join([*back, new[at:]]) == r["text"]
+    assert n > 20
+
+
+def test_checked_is_the_same_and_the_key_is_the_users(spark, docs):
+    spark.conf.set("spark.tidemark.pii.key", "one")
+    a = {r["doc_id"]: r["text"] for r in pii.checked(docs).collect()}
+    assert a == {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs, b"one").collect()}
+    spark.conf.set("spark.tidemark.pii.key", "two")
+    assert a != {r["doc_id"]: r["text"] for r in pii.checked(docs).collect()}
+    spark.conf.unset("spark.tidemark.pii.key")
+    bad = spark.createDataFrame([("mac", "a", "x"), ("mac", "b", "x"), ("ip", "c", "c")], "type string, entity string, surrogate string")
+    assert {r["value"] for r in pii.collisions(bad).collect()} == {"x", "c"}
+
+
 def test_pseudonymize_edges(odd, none):
     out = pii.pseudonymize(odd, count="n")
     assert out.count() == odd.count() and out.where("doc_id = 2 and text is null").count() == 1

@@ -70,7 +70,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+    return pii.checked(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +109,52 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op2_quality, which SQL can express; the forest's verdict it can't."""
+    from . import quality
+
+    return quality.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+line as (select rid, unnest(string_split(t, chr(10))) as l from d),
+dup as (select rid, count(*) - count(distinct l) as n from line where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
+win as (select rid, unnest(range(1, len(ws) - 6)) as i, ws from w where len(ws) >= 8),
+text_of as (select rid, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') as x from win),
+often as (select rid, i from text_of qualify count(*) over (partition by rid, x) > 1),
+rep as (select rid, count(distinct k) as n from (select rid, unnest(range(i, i + 8)) as k from often) t group by rid)
+select doc_id, len(ws)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+ coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(ws) < 20 or 100 * coalesce(rep.n, 0) > 30 * len(ws) as base_failed
+from w left join dup using (rid) left join rep using (rid)
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op10_mix; which rows are drawn SQL can't tell."""
+    from pyspark.sql import functions as F
+
+    from . import mixing
+
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+MIX_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+n as (select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from s),
+r as (select *, row_number() over (order by 2.0 * source_size / weight, source nulls last) as k from n),
+p as (select k, 2.0 * source_size / weight as stop, 1.5 * sum(source_size) over () - coalesce(sum(2.0 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0) as left_over,
+      sum(weight) over (order by k rows between current row and unbounded following) as open_weight from r),
+unit as (select coalesce(min(left_over / open_weight), 1e300) as u from (select * from p where left_over / open_weight <= stop order by k limit 1) t)
+select d.doc_id, d.size, r.source_size, round(least(2.0 * r.source_size, u * r.weight), 4) as target from d join r on r.source is not distinct from d.source, unit
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_langid, op5_neardup, op6_token_files, op7_pii, op8_toxicity, op9_ring_shards, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_langid, op5_neardup, op6_token_files, op7_pii, op8_toxicity, op9_ring_shards, op10_mix, quality_counts, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL}

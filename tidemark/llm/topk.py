@@ -34,6 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,23 +58,24 @@ _LONG = (1 << 63) - 1
 _EXACT = float(1 << 53)
 
 
-def finite(column: str) -> Column:
-    """The components as doubles; null where the vector takes no part."""
-    x = F.transform(F.col(column), lambda e: e.cast("double"))
-    fine = F.coalesce(F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False))), F.lit(False))
-    return F.when(fine, x)
+def measure(rows: DataFrame, scale: int) -> DataFrame:
+    """Adds ``band``, a fourth of a power of two of the norm of scale * x wide, and ``log``,
+    log2 of that norm (-1 for less than a half); both null where the vector takes no part."""
 
+    @F.arrow_udf("band int, log double")
+    def run(col: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(col.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        x = np.abs(col.flatten().to_numpy(zero_copy_only=False).astype(float))  # a null is nan
+        own = np.repeat(np.arange(len(col)), lengths)
+        bad = (np.bincount(own, ~np.isfinite(x), len(col)) > 0) | col.is_null().to_numpy(zero_copy_only=False)
+        most = np.zeros(len(col))
+        np.maximum.at(most, own, np.where(np.isfinite(x), x, 0))
+        with np.errstate(all="ignore"):
+            square = np.bincount(own, (x / most[own]) ** 2, len(col))
+            log = np.where(most > 0, np.maximum(np.log2(most) + np.log2(square) / 2 + np.log2(scale), -1.0), -1.0)
+        return pa.StructArray.from_arrays([pa.array(np.where(bad, 0, np.floor(4 * log)).astype(np.int32), mask=bad), pa.array(log, mask=bad)], names=["band", "log"])
 
-def log_norm(v: Column, scale: int) -> Column:
-    """log2 of the norm of scale * x, without overflow; -1 for no length."""
-    most = F.coalesce(F.array_max(F.transform(v, F.abs)), F.lit(0.0))
-    rest = F.aggregate(v, F.lit(0.0), lambda a, e: a + (e / most) * (e / most))
-    return F.when(most > 0, F.greatest(F.log2(most) + F.log2(rest) / 2 + float(np.log2(scale)), F.lit(-1.0))).otherwise(-1.0)
-
-
-def band_of(v: Column, scale: int) -> Column:
-    """Bands a fourth of a power of two wide."""
-    return F.floor(4 * log_norm(v, scale)).cast("int")
+    return rows.withColumn("m", run("v")).select("vec_id", "v", "m.band", "m.log")
 
 
 def _matrix(col: pa.ListArray, dims: int) -> np.ndarray:
@@ -353,10 +355,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, how: Index = Index()
     ``vec_id``) chooses, against every other row. ``counted``, an accumulator, gets the
     number of scores computed."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), finite(column).alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("band", band_of(F.col("v"), scale))
-    length = F.max(log_norm(F.col("v"), scale))
-    found = rows.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), length.alias("log")).orderBy("band").collect()  # a few thousand bands at most
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    rows = measure(rows, scale).where(F.col("band").isNotNull())
+    found = rows.groupBy("band").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max("log").alias("log")).orderBy("band").collect()  # a few thousand bands at most
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not found:
         return nothing
