@@ -55,7 +55,7 @@ class Near:
     margin: float = 6.0
     chunk: int = 256
     #: Bytes of a batch that a Python worker gets.
-    batch: int = 12_000_000
+    batch: int = 8_000_000
 
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hash(word: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(word)
     if len(word) <= 64:
-        if len(_WORDS) > 400_000:
+        if len(_WORDS) > 150_000:
             _WORDS.clear()
         _WORDS[word] = h
     return h

@@ -50,7 +50,7 @@ owns("toxicity", _WORDS.clear)
 def _word_hash(chunk: str) -> int:
     """crc32 of the chunk in lower case without punctuation at its ends; 0 for none."""
     h = zlib.crc32(w.encode()) or 1 if (w := chunk.lower().strip(_EDGES)) else 0
-    if len(_WORDS) >= 400_000:
+    if len(_WORDS) >= 200_000:
         _WORDS.clear()
     if len(chunk) <= 48:
         _WORDS[chunk] = h
@@ -100,8 +100,8 @@ class Ftrl:
 
     def settle(self, docs: list[np.ndarray], labels: np.ndarray) -> float:
         """What to add to the intercept so that 0.5 parts the sample's classes best."""
-        w = self.weights(np.arange((1 << self.fit.bits) + 1))
-        raw = np.array([w[x].sum() + w[-1] for x in docs])
+        intercept = self.weights(np.array([1 << self.fit.bits]))[0]
+        raw = np.array([self.weights(x).sum() + intercept for x in docs])
         bad, good = labels.sum(), len(labels) - labels.sum()
         if not bad or not good:
             return 0.0
@@ -114,9 +114,9 @@ class Ftrl:
 
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
         """Coordinates and values of the weights that are not zero."""
-        w = self.weights(np.arange((1 << self.fit.bits) + 1))
-        at = np.flatnonzero(w)
-        return at.astype(np.int64), w[at]
+        at = np.flatnonzero(self.n)  # coordinates that were seen
+        w = self.weights(at)
+        return at[w != 0].astype(np.int64), w[w != 0]
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "text", label: str = "toxic", allowed=None) -> DataFrame:
