@@ -97,6 +97,17 @@ def test_texts_of_one_id_are_told_apart(spark):
     assert sorted(n for n in kept if n not in (5, 6)) == [1, 2, 7, 7, 8] and len([n for n in kept if n in (5, 6)]) == 1
 
 
+def test_texts_of_nodes_are_hashed_once(spark):
+    """One Python evaluation in the plan, after the rows that aren't needed are gone; the id alone doesn't tell the text."""
+    rows = [(1, "a b c"), (1, "d e"), (2, "a  b c"), (3, None), (None, "d e"), (4, "f")]
+    need = [(10, bytearray(neardup.node_of([b"a", b"b", b"c"])), 1), (11, bytearray(neardup.node_of([b"d", b"e"])), 1)]
+    df = neardup.texts_of(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(need, "id long, node binary, rep long"), "text", "doc_id")
+    assert sorted(map(tuple, df.collect())) == [(10, "a b c"), (11, "d e")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert "Join LeftSemi" in plan[plan.index("ArrowEvalPython") :]
+
+
 def test_a_common_passage_is_no_link(spark):
     """Many texts with the same passage in most bands' buckets, below 0.8 in pairs, over several chunks; some above."""
     rng = random.Random(13)

@@ -311,6 +311,21 @@ def _of_key(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "in
     return salted.join(spread, [key, "salt"], how).drop("salt")
 
 
+def texts_of(docs: DataFrame, need: DataFrame, text: str, key: str) -> DataFrame:
+    """``id, text`` of each row of ``need`` (``id, node, rep``): a text of that node under the id ``rep``."""
+
+    @F.arrow_udf("binary")
+    def node(col: pa.Array) -> pa.Array:
+        claim("neardup")
+        return pa.array([node_of(byte_words(t)) for t in col.to_pylist()], pa.binary())
+
+    # The join asks for nodes that aren't null. As a filter on a deterministic function that would run it a second
+    # time, over all documents and in a second Python worker of each task, which then stays for the session.
+    node = node.asNondeterministic()
+    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(need.select("rep").distinct(), "rep", "left_semi").where(F.col("text").isNotNull())
+    return own.select(node("text").alias("node"), "text").join(need, "node").select("id", "text").dropDuplicates(["id"])
+
+
 def _linked(docs: DataFrame, signed: DataFrame, how: Near, text: str, key: str, keep) -> DataFrame:
     """``node, id, rep, root``: each word sequence with the least document id that has
     it, and the component it belongs to. Ids are numbers of word sequences."""
@@ -322,14 +337,8 @@ def _linked(docs: DataFrame, signed: DataFrame, how: Near, text: str, key: str,
     members = keep(banded.join(shared, ["bucket", "salt"]).select("bucket", "salt", "id", "size"), "near-members")
     mass = members.groupBy("id").agg(F.sum("size").alias("mass"))
     members = keep(members.join(mass, "id").select("bucket", "salt", "id", "mass"), "near-members")
-
-    @F.arrow_udf("binary")
-    def node(col: pa.Array) -> pa.Array:
-        return pa.array([node_of(byte_words(t)) for t in col.to_pylist()], pa.binary())
-
     need = keep(nodes.join(mass, "id", "left_semi").select("id", "node", "rep"), "near-need")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(need.select("rep").distinct(), "rep", "left_semi").where(F.col("text").isNotNull())
-    texts = keep(texts.select(node("text").alias("node"), "text").join(need, "node").select("id", "text").dropDuplicates(["id"]), "near-texts")
+    texts = keep(texts_of(docs, need, text, key), "near-texts")
 
     links, roots, placed = None, None, members.withColumn("root", F.col("id"))
     for turn in range(how.pivots + 1):
